@@ -108,7 +108,8 @@ def normalise_terms(df: DataFrame, key: str, words: str, stems: DataFrame | None
 
     A row without words keeps one row with a null term.
     """
-    each = df.select(*[c for c in df.columns if c != words], F.lower(F.explode_outer(words)).alias("term"))
+    each = df.select(*[c for c in df.columns if c != words], F.explode_outer(words).alias("term"))
+    each = each.withColumn("term", F.lower("term"))
     if stems is None:
         return each
     table = stems.select(F.col("word").alias("term"), "stem")

@@ -43,12 +43,12 @@ def pattern_fill(t: Tables):
     return c.fill_like(docs.join(labels, "doc_id", "left"), "label_", -1)
 
 
-@query("cast_fill", """SELECT event_id, coalesce(TRY_CAST(nullif(round(value, 2), 6.55) AS BIGINT), -1) AS price,
+@query("cast_fill", """SELECT event_id, coalesce(CAST(floor(nullif(value, 6.55)) AS BIGINT), -1) AS price,
 coalesce(TRY_CAST(regexp_extract(props, '[0-9]+') AS INTEGER), 0) AS k,
 coalesce(TRY_CAST(event_type AS INTEGER), -9) AS code FROM events""")
 def cast_fill(t: Tables):
     raw = t.events.select(
-        "event_id", F.floor(F.nullif(F.round("value", 2), F.lit(6.55)) + 0.5).cast("double").alias("price"),
+        "event_id", F.floor(F.nullif("value", F.lit(6.55))).cast("double").alias("price"),
         F.regexp_extract("props", "[0-9]+", 0).alias("k"), F.col("event_type").alias("code"),
     )
     return c.cast_fill(raw, {"price": ("bigint", -1), "k": ("int", 0), "code": ("int", -9)})
@@ -295,8 +295,8 @@ CASE WHEN lang = 'fr' THEN 'NA' WHEN lang = 'es' THEN '' ELSE 'null' END AS word
 def csv_roundtrip_scan(t: Tables):
     word = F.when(F.col("lang") == "fr", "NA").when(F.col("lang") == "es", "").otherwise("null")
     docs = t.documents.select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"), word.alias("word"))
-    path = st.write_csv(docs, fresh_path(t.spark, "csv"), max_rows_per_file=100_000)
-    back = st.read_items(t.spark, path, docs.schema, columns=["doc_id", "text", "lang", "word"])
+    path = st.write_csv(docs, fresh_path(t.spark, "csv"), null_value=r"\N", max_rows_per_file=100_000)
+    back = st.read_items(t.spark, path, docs.schema, ["doc_id", "text", "lang", "word"], null_value=r"\N")
     return back.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "word")
 
 

@@ -124,8 +124,8 @@ def entity_sql(key: str, s: str, source: str = "tok", name: str = "ent") -> str:
     return f"""{name}_p AS (SELECT {key}, toks, unnest(range(1, len(toks) + 1)) AS p FROM {source}),
 {name}_n AS (SELECT {key}, p, n, array_to_string(toks[p:p + n - 1], ' ') AS phrase, len(toks) AS m
   FROM {name}_p, (VALUES (1), (2), (3)) AS len_(n) WHERE p + n - 1 <= len(toks)),
-{name}_h AS (SELECT DISTINCT {key}, unnest(range(p, p + n)) AS at FROM {name}_n WHERE phrase IN {_list(ENTITIES)}),
-{name} AS (SELECT {key}, count(at) AS CNT_Named_Entity_{s} FROM {source} LEFT JOIN {name}_h USING ({key}) GROUP BY {key})"""
+{name}_h AS (SELECT DISTINCT {key}, unnest(range(p, p + n)) AS covered FROM {name}_n WHERE phrase IN {_list(ENTITIES)}),
+{name} AS (SELECT {key}, count(covered) AS CNT_Named_Entity_{s} FROM {source} LEFT JOIN {name}_h USING ({key}) GROUP BY {key})"""
 
 
 @query("text_entities", f"WITH {DOCS}, {entity_sql('doc_id', 'desc')} SELECT * FROM ent")
