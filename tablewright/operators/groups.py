@@ -13,6 +13,7 @@ from tablewright.functions.dates import days_between
 from tablewright.functions.numeric import deviation
 from tablewright.operators.joins import attach, lookup
 from tablewright.operators.ordering import hash_fold
+from tablewright.session import materialize_all
 
 STATS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -106,15 +107,21 @@ def group_feature(
 
 def history_features(items: DataFrame, history: DataFrame, ignore: Mapping[str, Any] | None = None) -> DataFrame:
     """User, category and parent-category history plus two price deviations."""
+    stats = materialize_all({
+        key: group_stats(history, key, features, weight=WEIGHT, ignore=ignore)
+        for key, features in (
+            ("user_id", USER_FEATURES), ("category_name", CATEGORY_FEATURES), ("parent_category_name", PARENT_FEATURES),
+        )
+    })
     out = items
-    for key, features in (
-        ("user_id", USER_FEATURES),
-        ("category_name", CATEGORY_FEATURES),
-        ("parent_category_name", PARENT_FEATURES),
-    ):
-        stats = group_stats(history, key, features, weight=WEIGHT, ignore=ignore)
-        out = attach(out, stats, key, weight=WEIGHT)
-    return out.withColumns({
+    for key, table in stats.items():
+        out = attach(out, table, key, weight=WEIGHT, store=False)
+    return price_deviations(out)
+
+
+def price_deviations(df: DataFrame) -> DataFrame:
+    """Standardised deviation of the price from both category means."""
+    return df.withColumns({
         "price_diff_ctg_ratio": deviation("price", "price_ctg_mean", "price_ctg_std"),
         "price_diff_prtctg_ratio": deviation("price", "price_prtctg_mean", "price_prtctg_std"),
     })
@@ -143,10 +150,10 @@ def target_encode(
     ``on_missing``: ``error`` fails on a key unseen in training, ``null``
     leaves it null, ``global`` takes the statistic over all training rows.
     """
+    fitted = materialize_all({key: target_stats(train, key, target, stats, prefix) for key in keys})
     out = apply_to
-    for key in keys:
-        fitted = target_stats(train, key, target, stats, prefix)
-        out = lookup(out, fitted, key, "null" if on_missing == "global" else on_missing, weight=WEIGHT)
+    for key, table in fitted.items():
+        out = lookup(out, table, key, "null" if on_missing == "global" else on_missing, weight=WEIGHT, store=False)
     if on_missing == "global":
         overall = {s: train.agg(STATS[s](F.col(target))).scalar() for s in stats}
         out = out.withColumns({

@@ -80,7 +80,8 @@ def salted_attach(
     A key is hot when it holds more than ``hot_share`` of the total weight, so
     there are fewer than ``1 / hot_share`` of them: the list is safe to
     broadcast whatever the data. Only their statistics rows are repeated. The
-    salt is a hash of the row, hence the same when a task is run again.
+    salt is a hash of the row, hence the same when a task is run again. Rows
+    without a key match nothing and are spread likewise.
     """
     keys = _keys(key)
     if weight is None:
@@ -93,7 +94,10 @@ def salted_attach(
         "hot",
     )
     spread_over = salt_by or [c for c in items.columns if c not in keys] or keys
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.hash(*spread_over), F.col("_salts"))).otherwise(F.lit(0))
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(
+        F.col("_salts").isNotNull() | no_key, F.pmod(F.hash(*spread_over), F.lit(salts))
+    ).otherwise(F.lit(0))
     salted = items.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     copies = (
         (stats.drop(weight) if weight else stats)
@@ -113,7 +117,7 @@ def outer_zero(a: DataFrame, b: DataFrame, key: str | Sequence[str], value: Any
 
 def lookup(
     df: DataFrame, dictionary: DataFrame, key: str | Sequence[str],
-    on_missing: str = "null", default: Any = None, weight: str | None = None,
+    on_missing: str = "null", default: Any = None, weight: str | None = None, store: bool = True,
 ) -> DataFrame:
     """Look values up by key.
 
@@ -124,7 +128,7 @@ def lookup(
     keys = _keys(key)
     values = [c for c in dictionary.columns if c not in keys and c != weight]
     marked = dictionary.withColumn("_found", F.lit(True))
-    joined = attach(df, marked, keys, weight=weight)
+    joined = attach(df, marked, keys, weight=weight, store=store)
     if on_missing == "error":
         name = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
         complain = F.raise_error(F.concat(F.lit(f"no entry for {'/'.join(keys)} = "), name))

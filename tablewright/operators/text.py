@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,57 +59,90 @@ def text_features(
     return prepared.select(key, f"tokens_{suffix}", f"words_{suffix}", *[c.alias(n) for n, c in columns.items()])
 
 
-def polarity(df: DataFrame, key: str, words: str, lexicon: DataFrame, suffix: str) -> DataFrame:
+def _explode_fields(df: DataFrame, key: str, arrays: Mapping[str, str], name: str) -> DataFrame:
+    """(key, field, name) for the elements of several array columns.
+
+    A row whose arrays are all empty keeps one row of nulls.
+    """
+    def tagged(field: str, column: str) -> Column:
+        return F.transform(column, lambda w: F.struct(F.lit(field).alias("field"), w.alias(name)))
+
+    both = F.concat(*[tagged(f, c) for f, c in arrays.items()])
+    return df.select(key, F.explode_outer(both).alias("_e")).select(key, "_e.field", f"_e.{name}")
+
+
+def polarity(df: DataFrame, key: str, words: Mapping[str, str], lexicon: DataFrame) -> DataFrame:
     """Positive and negative words by a (word, polarity) table.
 
-    Words are counted inside each row's task before the counts are shuffled by
-    key; the lexicon is broadcast when it is measured to be small.
+    ``words`` maps a suffix to a word column; all columns share one pass. The
+    words of a row are counted in its own task before the counts are shuffled
+    by key; the lexicon is broadcast when it is measured to be small.
     """
-    each = df.select(key, F.explode_outer(words).alias("word"))
+    each = _explode_fields(df, key, words, "word")
     matched = attach(each, lexicon.select("word", "polarity"), "word", store=False)
-    pos, neg, n = f"CNT_Pos_Words_{suffix}", f"CNT_Neg_Words_{suffix}", "_n"
-    counts = matched.groupBy(key).agg(
-        F.count_if(F.col("polarity") > 0).alias(pos),
-        F.count_if(F.col("polarity") < 0).alias(neg),
-        F.count("word").alias(n),
-    )
-    return counts.select(
-        key, pos, neg,
-        ((F.col(pos) + F.lit(SMOOTHING)) / (F.col(neg) + F.lit(SMOOTHING))).alias(f"RATIO_PosNeg_Word_{suffix}"),
-        clean_ratio(ratio(pos, n)).alias(f"PCENT_Pos_Word_{suffix}"),
-        clean_ratio(ratio(neg, n)).alias(f"PCENT_Neg_Word_{suffix}"),
-    )
+    here = {s: F.col("field") == s for s in words}
+    counts = matched.groupBy(key).agg(*[
+        c
+        for s in words
+        for c in (
+            F.count_if(here[s] & (F.col("polarity") > 0)).alias(f"CNT_Pos_Words_{s}"),
+            F.count_if(here[s] & (F.col("polarity") < 0)).alias(f"CNT_Neg_Words_{s}"),
+            F.count_if(here[s]).alias(f"_n_{s}"),
+        )
+    ])
+
+    def shares(s: str) -> list[Column]:
+        pos, neg, n = f"CNT_Pos_Words_{s}", f"CNT_Neg_Words_{s}", f"_n_{s}"
+        return [
+            F.col(pos), F.col(neg),
+            ((F.col(pos) + F.lit(SMOOTHING)) / (F.col(neg) + F.lit(SMOOTHING))).alias(f"RATIO_PosNeg_Word_{s}"),
+            clean_ratio(ratio(pos, n)).alias(f"PCENT_Pos_Word_{s}"),
+            clean_ratio(ratio(neg, n)).alias(f"PCENT_Neg_Word_{s}"),
+        ]
+
+    return counts.select(key, *[c for s in words for c in shares(s)])
 
 
 def entity_words(
-    df: DataFrame, key: str, tokens: str, entities: DataFrame, suffix: str, max_len: int = 3
+    df: DataFrame, key: str, tokens: Mapping[str, str], entities: DataFrame, max_len: int = 3
 ) -> DataFrame:
     """Number of tokens inside phrases of an entity table (column ``phrase``).
 
     Each token starts up to ``max_len`` phrases; a token covered by several
     phrases counts once.
     """
-    toks = F.col(tokens)
-    numbered = df.select(key, toks.alias("_t"), F.posexplode_outer(toks).alias("_pos", "_tok"))
-    lengths = numbered.select(key, "_t", "_pos", F.explode(F.sequence(F.lit(1), F.lit(max_len))).alias("_len"))
-    phrases = lengths.where(F.col("_pos") + F.col("_len") <= F.size("_t")).select(
-        key, "_pos", "_len", F.array_join(F.slice("_t", F.col("_pos") + 1, F.col("_len")), " ").alias("phrase")
-    )
+    def spans(field: str, column: str) -> Column:
+        toks = F.col(column)
+
+        def of_length(n: Column) -> Column:
+            starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda p: F.struct(
+                F.lit(field).alias("field"), p.alias("pos"), n.alias("len"),
+                F.array_join(F.slice(toks, p + 1, n), " ").alias("phrase"),
+            ))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_len)), of_length))
+
+    every = F.concat(*[spans(f, c) for f, c in tokens.items()])
+    phrases = df.select(key, F.explode(every).alias("_s")).select(key, "_s.*")
     hits = attach(phrases, entities.select("phrase").distinct(), "phrase", how="inner")
-    covered = hits.select(key, F.explode(F.sequence(F.col("_pos"), F.col("_pos") + F.col("_len") - 1)).alias("_at"))
-    counts = covered.groupBy(key).agg(F.count_distinct("_at").alias("_c"))
+    covered = hits.select(key, "field", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("_at"))
+    counts = covered.distinct().groupBy(key).agg(
+        *[F.count_if(F.col("field") == f).alias(f"_{f}") for f in tokens]
+    )
     return df.select(key).join(counts, key, "left").select(
-        key, F.coalesce("_c", F.lit(0)).alias(f"CNT_Named_Entity_{suffix}")
+        key, *[F.coalesce(f"_{f}", F.lit(0)).alias(f"CNT_Named_Entity_{f}") for f in tokens]
     )
 
 
-def normalise_terms(df: DataFrame, key: str, words: str, stems: DataFrame | None = None) -> DataFrame:
-    """One row (key, term) for each word: lower case, then the stem if listed.
+def normalise_terms(df: DataFrame, key: str, words: Mapping[str, str], stems: DataFrame | None = None) -> DataFrame:
+    """One row (key, field, term) for each word: lower case, then its stem.
 
-    A row without words keeps one row with a null term.
+    ``words`` maps a field name to a word column. A word that ``stems``, a
+    (word, stem) table, does not list stays as it is. A row without any words
+    keeps one row with a null term.
     """
-    each = df.select(*[c for c in df.columns if c != words], F.explode_outer(words).alias("term"))
-    each = each.withColumn("term", F.lower("term"))
+    each = _explode_fields(df, key, words, "term").withColumn("term", F.lower("term"))
     if stems is None:
         return each
     table = stems.select(F.col("word").alias("term"), "stem")
@@ -119,13 +152,14 @@ def normalise_terms(df: DataFrame, key: str, words: str, stems: DataFrame | None
 def term_pool(terms: DataFrame, target: str) -> DataFrame:
     """Count and share of each term among rows with a zero or non-zero target.
 
-    ``terms`` has one row for each occurrence. The class totals are two rows.
+    ``terms`` has one row (field, term, target) for each occurrence. There are
+    two class totals for each field.
     """
     flagged = terms.where(F.col("term").isNotNull() & F.col(target).isNotNull())
-    counts = flagged.groupBy((F.col(target) != 0).alias("nonzero"), "term").agg(F.count(F.lit(1)).alias("count"))
-    totals = counts.groupBy("nonzero").agg(F.sum("count").alias("_total"))
-    return counts.join(F.broadcast(totals), "nonzero").select(
-        "nonzero", "term", "count", (F.col("count") / F.col("_total")).alias("freq")
+    counts = flagged.groupBy("field", (F.col(target) != 0).alias("nonzero"), "term").agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy("field", "nonzero").agg(F.sum("count").alias("_total"))
+    return counts.join(F.broadcast(totals), ["field", "nonzero"]).select(
+        "field", "nonzero", "term", "count", (F.col("count") / F.col("_total")).alias("freq")
     )
 
 
@@ -134,25 +168,33 @@ def term_contrast(pool: DataFrame) -> DataFrame:
     def side(flag: bool) -> Column:
         return F.coalesce(F.max(F.when(F.col("nonzero") == flag, F.col("freq"))), F.lit(0.0))
 
-    return pool.groupBy("term").agg(
+    return pool.groupBy("field", "term").agg(
         (side(True) - side(False)).alias("freq_diff"), F.sum("count").alias("count")
     )
 
 
 def ranking_score(
-    terms: DataFrame, key: str, ranking: DataFrame, name: str = "RankingScore", distinct: str = "score"
+    terms: DataFrame, key: str, ranking: DataFrame, names: Mapping[str, str], distinct: str = "score"
 ) -> DataFrame:
     """Sum of the contrast scores of a row's terms; unknown terms add 0.
 
     ``distinct="score"`` adds each distinct score value once; ``"term"`` adds
-    each distinct term once. ``ranking`` is (term, freq_diff, count), its
-    count tells which terms are frequent enough to be salted.
+    each distinct term once. ``ranking`` is (field, term, freq_diff, count),
+    its count tells which terms are frequent enough to be salted. ``names``
+    maps a field to the name of its score column.
     """
-    pairs = terms.select(key, "term").distinct()
-    scored = attach(pairs, ranking.select("term", "freq_diff", "count"), "term", weight="count", salt_by=[key])
-    score = F.coalesce("freq_diff", F.lit(0.0))
-    total = {"score": F.sum_distinct, "term": F.sum}[distinct]
-    return scored.groupBy(key).agg(total(score).alias(name))
+    pairs = terms.select(key, "field", "term").distinct()
+    scored = attach(
+        pairs, ranking.select("field", "term", "freq_diff", "count"), ["field", "term"], weight="count", salt_by=[key]
+    )
+    if distinct == "score":
+        scored = scored.select(key, "field", "freq_diff").distinct()
+    elif distinct != "term":
+        raise ValueError(f"unknown distinct: {distinct}")
+    return scored.groupBy(key).agg(*[
+        F.coalesce(F.sum(F.when(F.col("field") == f, F.col("freq_diff"))), F.lit(0.0)).alias(name)
+        for f, name in names.items()
+    ])
 
 
 def word_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:

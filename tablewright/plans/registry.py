@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.joins import attach
+from tablewright.operators.ordering import widen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return widen(self.documents.select("doc_id", "text"))
+
     @cached_property
     def places(self) -> DataFrame:
         """city (nation) and region of each of the 25 nations."""

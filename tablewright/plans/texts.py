@@ -71,7 +71,7 @@ def stems(t: Tables):
 SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5,
 CAST(len(words) AS INTEGER) AS n_words, md5(array_to_string(words, ' ')) AS words_md5 FROM tok""")
 def text_tokens(t: Tables):
-    prepared = ot.add_tokens(t.documents.select("doc_id", "text"), "text", STOP_WORDS, "desc")
+    prepared = ot.add_tokens(t.texts, "text", STOP_WORDS, "desc")
 
     def digest(c):
         return F.md5(F.array_join(c, " ").cast("binary"))
@@ -84,14 +84,14 @@ def text_tokens(t: Tables):
 
 @query("text_basic", f"WITH {DOCS} SELECT doc_id, {basic_sql('desc')} FROM tok")
 def text_basic(t: Tables):
-    prepared = ot.add_tokens(t.documents.select("doc_id", "text"), "text", STOP_WORDS, "desc")
+    prepared = ot.add_tokens(t.texts, "text", STOP_WORDS, "desc")
     columns = ot.basic_statistics("text", STOP_WORDS, "desc")
     return rounded(prepared.select("doc_id", *[c.alias(n) for n, c in columns.items()]))
 
 
 @query("text_marks", f"WITH {DOCS} SELECT doc_id, {marks_sql('desc')}, {marks_sql('title', True)} FROM tok")
 def text_marks(t: Tables):
-    prepared = t.documents.select("doc_id", tx.tokens("text").alias("tokens_desc"))
+    prepared = t.texts.select("doc_id", tx.tokens("text").alias("tokens_desc"))
     columns = {**ot.mark_statistics("desc")}
     special = tx.count_marks("tokens_desc", (":", "?", "!")).alias("CNT_special_title")
     return prepared.select("doc_id", *[c.alias(n) for n, c in columns.items()], special)
@@ -116,8 +116,8 @@ def polarity_sql(key: str, s: str, source: str = "tok", name: str = "pol") -> st
 
 @query("text_polarity", f"WITH {DOCS}, {polarity_sql('doc_id', 'desc')} SELECT * FROM pol")
 def text_polarity(t: Tables):
-    prepared = ot.add_tokens(t.documents.select("doc_id", "text"), "text", STOP_WORDS, "desc")
-    return rounded(ot.polarity(prepared, "doc_id", "words_desc", lexicon(t), "desc"))
+    prepared = ot.add_tokens(t.texts, "text", STOP_WORDS, "desc")
+    return rounded(ot.polarity(prepared, "doc_id", {"desc": "words_desc"}, lexicon(t)))
 
 
 def entity_sql(key: str, s: str, source: str = "tok", name: str = "ent") -> str:
@@ -130,8 +130,8 @@ def entity_sql(key: str, s: str, source: str = "tok", name: str = "ent") -> str:
 
 @query("text_entities", f"WITH {DOCS}, {entity_sql('doc_id', 'desc')} SELECT * FROM ent")
 def text_entities(t: Tables):
-    prepared = t.documents.select("doc_id", tx.tokens("text").alias("tokens_desc"))
-    return ot.entity_words(prepared, "doc_id", "tokens_desc", entities(t), "desc")
+    prepared = t.texts.select("doc_id", tx.tokens("text").alias("tokens_desc"))
+    return ot.entity_words(prepared, "doc_id", {"desc": "tokens_desc"}, entities(t))
 
 
 # Term contrast. The terms of all documents; the target of those with labels.
@@ -147,31 +147,34 @@ contrast AS (SELECT term, coalesce(max(freq) FILTER (nonzero), 0) - coalesce(max
 
 
 def _terms(t: Tables):
-    words = t.documents.select("doc_id", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
-    return ot.normalise_terms(words, "doc_id", "words", stems(t))
+    words = t.texts.select("doc_id", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
+    return ot.normalise_terms(words, "doc_id", {"desc": "words"}, stems(t))
 
 
 def _pool(t: Tables):
-    # Labels before words: only labelled texts are split.
-    docs = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
-    words = docs.select("doc_id", "quality", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
-    return ot.term_pool(ot.normalise_terms(words, "doc_id", "words", stems(t)), "quality")
+    # Only labelled texts are split into words; the target joins the counts'
+    # rows by document.
+    labels = t.labels.select("doc_id", "quality")
+    docs = t.texts.join(labels, "doc_id", "left_semi")
+    words = docs.select("doc_id", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
+    terms = ot.normalise_terms(words, "doc_id", {"desc": "words"}, stems(t))
+    return ot.term_pool(terms.join(labels, "doc_id"), "quality")
 
 
 @query("term_pool", f"WITH {TERMS} SELECT nonzero, term, count, round(freq, 10) AS freq FROM freqs")
 def term_pool(t: Tables):
-    return rounded(_pool(t), 10)
+    return rounded(_pool(t).drop("field"), 10)
 
 
 @query("term_contrast", f"WITH {TERMS} SELECT term, round(freq_diff, 10) AS freq_diff, count FROM contrast")
 def term_contrast(t: Tables):
-    return rounded(ot.term_contrast(_pool(t)), 10)
+    return rounded(ot.term_contrast(_pool(t)).drop("field"), 10)
 
 
 @query("term_top_k", f"""WITH {TERMS} SELECT term, round(freq_diff, 10) AS freq_diff FROM
 (SELECT * FROM contrast ORDER BY freq_diff DESC, term LIMIT 50)""")
 def term_top_k(t: Tables):
-    top = o.rank_terms(ot.term_contrast(_pool(t)).drop("count"), "freq_diff", "term", 50)
+    top = o.rank_terms(ot.term_contrast(_pool(t)).drop("field", "count"), "freq_diff", "term", 50)
     return rounded(top, 10)
 
 
@@ -180,7 +183,7 @@ s AS (SELECT DISTINCT doc_id, coalesce(freq_diff, 0) AS score FROM terms LEFT JO
 d AS (SELECT doc_id, sum(score) AS a FROM s GROUP BY doc_id)
 SELECT doc_id, round(coalesce(a, 0), 8) AS RankingScore_desc FROM documents LEFT JOIN d USING (doc_id)""")
 def ranking_score(t: Tables):
-    scored = ot.ranking_score(_terms(t), "doc_id", ot.term_contrast(_pool(t)), "RankingScore_desc")
+    scored = ot.ranking_score(_terms(t), "doc_id", ot.term_contrast(_pool(t)), {"desc": "RankingScore_desc"})
     return rounded(scored, 8)
 
 
@@ -190,7 +193,7 @@ d AS (SELECT doc_id, sum(score) AS a FROM s GROUP BY doc_id)
 SELECT doc_id, round(coalesce(a, 0), 8) AS RankingScore_desc FROM documents LEFT JOIN d USING (doc_id)""")
 def ranking_score_terms(t: Tables):
     ranking = ot.term_contrast(_pool(t))
-    return rounded(ot.ranking_score(_terms(t), "doc_id", ranking, "RankingScore_desc", distinct="term"), 8)
+    return rounded(ot.ranking_score(_terms(t), "doc_id", ranking, {"desc": "RankingScore_desc"}, distinct="term"), 8)
 
 
 # LSA

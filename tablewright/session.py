@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Store several independent tables; their jobs share the cluster."""
+    if not tables:
+        return {}
+    with ThreadPoolExecutor(max_workers=min(8, len(tables))) as pool:
+        stored = pool.map(lambda item: materialize(item[1], item[0]), tables.items())
+        return dict(zip(tables, stored, strict=True))
