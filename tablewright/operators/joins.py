@@ -51,6 +51,7 @@ def attach(
     items: DataFrame, stats: DataFrame, key: str | Sequence[str],
     fill: Mapping[str, Any] | None = None, weight: str | None = None,
     how: str = "left", store: bool = True, salt_by: Sequence[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join statistics, one row per key, to items.
 
@@ -66,46 +67,50 @@ def attach(
     if fits_broadcast(stats):
         joined = items.join(F.broadcast(stats.drop(weight) if weight else stats), keys, how)
     else:
-        joined = salted_attach(items, stats, keys, weight, how, salt_by=salt_by)
+        joined = salted_attach(items, stats, keys, weight, how, salt_by=salt_by, hot=hot)
     return joined.fillna(dict(fill)) if fill else joined
 
 
+def hot_keys(sizes: DataFrame, key: str | Sequence[str], size: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of the total size.
+
+    There are fewer than ``1 / share`` of them, whatever the data.
+    """
+    total = sizes.agg(F.sum(size).cast("double").alias("_total")).scalar()
+    large = F.col(size).cast("double") > F.lit(share) * total
+    return materialize(sizes.where(large).select(*_keys(key), F.lit(True).alias("_hot")), "hot")
+
+
 def salted_attach(
     items: DataFrame, stats: DataFrame, key: str | Sequence[str], weight: str | None = None,
     how: str = "left", salts: int = SALTS, hot_share: float = HOT_SHARE,
-    salt_by: Sequence[str] | None = None,
+    salt_by: Sequence[str] | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join that spreads the rows of hot keys over ``salts`` tasks.
 
-    A key is hot when it holds more than ``hot_share`` of the total weight, so
-    there are fewer than ``1 / hot_share`` of them: the list is safe to
-    broadcast whatever the data. Only their statistics rows are repeated. The
+    The list of hot keys (:func:`hot_keys`, found here unless given) is short
+    by construction and broadcast. Only their statistics are repeated. The
     salt is a hash of the row, hence the same when a task is run again. Rows
     without a key match nothing and are spread likewise.
     """
     keys = _keys(key)
-    if weight is None:
-        sizes, size = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "_size"
-    else:
-        sizes, size = stats.select(*keys, weight), weight
-    total = sizes.agg(F.sum(size).cast("double").alias("_w")).scalar()
-    hot = materialize(
-        sizes.where(F.col(size).cast("double") > F.lit(hot_share) * total).select(*keys, F.lit(salts).alias("_salts")),
-        "hot",
-    )
+    if hot is None and weight is None:
+        hot = hot_keys(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys, "_size", hot_share)
+    elif hot is None:
+        hot = hot_keys(stats.select(*keys, weight), keys, weight, hot_share)
     spread_over = salt_by or [c for c in items.columns if c not in keys] or keys
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.when(
-        F.col("_salts").isNotNull() | no_key, F.pmod(F.hash(*spread_over), F.lit(salts))
+        F.col("_hot").isNotNull() | no_key, F.pmod(F.hash(*spread_over), F.lit(salts))
     ).otherwise(F.lit(0))
     salted = items.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     copies = (
         (stats.drop(weight) if weight else stats)
         .join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
-        .drop("_salts")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))))
+        .drop("_hot")
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_salts")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_hot")
 
 
 def outer_zero(a: DataFrame, b: DataFrame, key: str | Sequence[str], value: Any = 0) -> DataFrame:

@@ -59,8 +59,10 @@ def text_features(
     return prepared.select(key, f"tokens_{suffix}", f"words_{suffix}", *[c.alias(n) for n, c in columns.items()])
 
 
-def _explode_fields(df: DataFrame, key: str, arrays: Mapping[str, str], name: str) -> DataFrame:
-    """(key, field, name) for the elements of several array columns.
+def _explode_fields(
+    df: DataFrame, key: str, arrays: Mapping[str, str], name: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, *keep, field, name) for the elements of several array columns.
 
     A row whose arrays are all empty keeps one row of nulls.
     """
@@ -68,7 +70,8 @@ def _explode_fields(df: DataFrame, key: str, arrays: Mapping[str, str], name: st
         return F.transform(column, lambda w: F.struct(F.lit(field).alias("field"), w.alias(name)))
 
     both = F.concat(*[tagged(f, c) for f, c in arrays.items()])
-    return df.select(key, F.explode_outer(both).alias("_e")).select(key, "_e.field", f"_e.{name}")
+    each = df.select(key, *keep, F.explode_outer(both).alias("_e"))
+    return each.select(key, *keep, "_e.field", f"_e.{name}")
 
 
 def polarity(df: DataFrame, key: str, words: Mapping[str, str], lexicon: DataFrame) -> DataFrame:
@@ -135,14 +138,17 @@ def entity_words(
     )
 
 
-def normalise_terms(df: DataFrame, key: str, words: Mapping[str, str], stems: DataFrame | None = None) -> DataFrame:
-    """One row (key, field, term) for each word: lower case, then its stem.
+def normalise_terms(
+    df: DataFrame, key: str, words: Mapping[str, str], stems: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row (key, *keep, field, term) for each word: lower case, then its stem.
 
-    ``words`` maps a field name to a word column. A word that ``stems``, a
+    ``words`` maps a field name to a word column; ``keep`` names columns of the
+    row, such as its target, to carry along. A word that ``stems``, a
     (word, stem) table, does not list stays as it is. A row without any words
     keeps one row with a null term.
     """
-    each = _explode_fields(df, key, words, "term").withColumn("term", F.lower("term"))
+    each = _explode_fields(df, key, words, "term", keep).withColumn("term", F.lower("term"))
     if stems is None:
         return each
     table = stems.select(F.col("word").alias("term"), "stem")

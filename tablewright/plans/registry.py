@@ -77,7 +77,7 @@ class Tables:
         """Line items as listing periods of their order."""
         lines = self.lineitem.select(F.col("l_orderkey").alias("item_id"), "l_shipdate")
         dates = self.orders.select(F.col("o_orderkey").alias("item_id"), "o_orderdate")
-        joined = lines.join(dates, "item_id")
+        joined = attach(lines, dates, "item_id", how="inner", store=False)
         return joined.select(
             "item_id", F.least("o_orderdate", "l_shipdate").alias("date_from"),
             F.greatest("o_orderdate", "l_shipdate").alias("date_to"),

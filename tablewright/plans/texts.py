@@ -152,13 +152,11 @@ def _terms(t: Tables):
 
 
 def _pool(t: Tables):
-    # Only labelled texts are split into words; the target joins the counts'
-    # rows by document.
-    labels = t.labels.select("doc_id", "quality")
-    docs = t.texts.join(labels, "doc_id", "left_semi")
-    words = docs.select("doc_id", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
-    terms = ot.normalise_terms(words, "doc_id", {"desc": "words"}, stems(t))
-    return ot.term_pool(terms.join(labels, "doc_id"), "quality")
+    # Labels before words: only labelled texts are split, one row each.
+    docs = t.texts.join(t.labels.select("doc_id", "quality"), "doc_id")
+    words = docs.select("doc_id", "quality", tx.clean_words(tx.tokens("text"), STOP_WORDS).alias("words"))
+    terms = ot.normalise_terms(words, "doc_id", {"desc": "words"}, stems(t), keep=["quality"])
+    return ot.term_pool(terms, "quality")
 
 
 @query("term_pool", f"WITH {TERMS} SELECT nonzero, term, count, round(freq, 10) AS freq FROM freqs")
