@@ -290,7 +290,7 @@ def one_hot(t: Tables):
 # Round trips through storage
 
 
-@query("csv_roundtrip_scan", """SELECT doc_id, length(text) AS n, md5(text) AS text_md5, nullif(lang, 'de') AS lang,
+@query("csv_roundtrip_scan", """SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5, nullif(lang, 'de') AS lang,
 CASE WHEN lang = 'fr' THEN 'NA' WHEN lang = 'es' THEN '' ELSE 'null' END AS word FROM documents""")
 def csv_roundtrip_scan(t: Tables):
     word = F.when(F.col("lang") == "fr", "NA").when(F.col("lang") == "es", "").otherwise("null")
