@@ -37,9 +37,13 @@ def _broadcast_limit(spark: SparkSession) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a stored table against the broadcast threshold of the session."""
+    """Measure a stored table against the broadcast threshold of the session.
+
+    A type whose size is not plain to measure counts as too large.
+    """
     limit = _broadcast_limit(df.sparkSession)
-    if not limit:
+    nested = [t for _, t in df.dtypes if t.startswith(("map", "struct")) or (t.startswith("array") and ("<" in t[6:] or "string" in t))]
+    if not limit or nested:
         return False
     wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
     listed = [F.coalesce(F.sum(F.size(c)), F.lit(0)) * 8 for c, t in df.dtypes if t.startswith("array")]
