@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +32,25 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session.
+
+    Functions that run in tasks are sent by the name of their module, so a
+    worker needs the package wherever the driver was started from.
+    """
+    if getattr(spark.sparkContext, "_tablewright_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tablewright-code-"), "tablewright_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._tablewright_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder, reachable by all executors, that holds intermediate tables.
 
@@ -65,6 +87,9 @@ def materialize_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Store several independent tables; their jobs share the cluster."""
     if not tables:
         return {}
+    spark = next(iter(tables.values())).sparkSession
+    # Job group, pool and other local properties of the caller hold in the threads too.
+    store = inheritable_thread_target(spark)(lambda item: materialize(item[1], item[0]))
     with ThreadPoolExecutor(max_workers=min(8, len(tables))) as pool:
-        stored = pool.map(lambda item: materialize(item[1], item[0]), tables.items())
+        stored = pool.map(store, tables.items())
         return dict(zip(tables, stored, strict=True))
