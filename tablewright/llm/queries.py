@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import language, quality
+from tablewright.llm import language, neardup, quality
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,36 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), settings=neardup.Settings(shingle=4))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
+    "op6_near_duplicates": op6_near_duplicates,
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS sh FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+label AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id,
+       coalesce(label, doc_id) = doc_id AS kept
+FROM s LEFT JOIN label ON node = doc_id"""
+
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL}
