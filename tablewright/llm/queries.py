@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import language, neardup, quality
+from tablewright.llm import fingerprint, language, mixing, neardup, quality
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), settings=neardup.Settings(shingle=4))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -27,6 +35,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_fingerprints": op8_fingerprints,
     "op10_language": op10_language,
 }
 
@@ -48,4 +58,28 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS
        coalesce(label, doc_id) = doc_id AS kept
 FROM s LEFT JOIN label ON node = doc_id"""
 
-SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL}
+OP7_SQL = """
+WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+u AS (SELECT source, CAST(greatest(1, floor(1000 * sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) + 0.5)) AS INT) AS units FROM sizes),
+w AS (SELECT list(units ORDER BY source) AS us, list(source ORDER BY source) AS names, CAST(sum(units) AS BIGINT) AS period, count(*) AS n FROM u),
+edf AS (
+  SELECT -1 AS t, list_transform(us, lambda x: 0) AS done, 0 AS k FROM w
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda c, i: c + CASE WHEN i = best THEN 1 ELSE 0 END), best
+  FROM (SELECT t, done, list_min(list_transform(range(1, n + 1), lambda i:
+          CASE WHEN done[i] < us[i] AND done[i] * period // us[i] <= t + 1
+               THEN ((done[i] + 1) * period + us[i] - 1) // us[i] * 100000 + i END)) % 100000 AS best
+        FROM edf, w WHERE t + 1 < period)),
+slots AS (SELECT names[k] AS source, t AS in_period, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS turn FROM edf, w WHERE t >= 0),
+r AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('7:' || doc_id), doc_id) - 1 AS rank
+  FROM (SELECT DISTINCT doc_id, source FROM documents)),
+b AS (SELECT r.*, units, rank // 16 AS block, period FROM r JOIN u USING (source), w)
+SELECT doc_id, b.source, units, CAST(block AS BIGINT) AS block, CAST(rank % 16 AS INT) AS place,
+       CAST(block * period // units AS BIGINT) AS released,
+       CAST(((block + 1) * period + units - 1) // units AS BIGINT) AS due,
+       CAST(block // units * period + in_period AS BIGINT) AS slot
+FROM b JOIN slots ON slots.source = b.source AND slots.turn = block % units"""
+
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL}
