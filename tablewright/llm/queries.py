@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, mixing, neardup, quality
+from tablewright.llm import fingerprint, language, mixing, neardup, pieces, quality
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenise(documents(spark, sf_dir))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), settings=neardup.Settings(shingle=4))
 
@@ -34,6 +38,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_fingerprints": op8_fingerprints,
