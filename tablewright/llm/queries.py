@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, mixing, neardup, pieces, quality
+from tablewright.llm import fingerprint, language, mixing, neardup, pieces, quality, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
@@ -87,4 +93,14 @@ SELECT doc_id, b.source, units, CAST(block AS BIGINT) AS block, CAST(rank % 16 A
        CAST(block // units * period + in_period AS BIGINT) AS slot
 FROM b JOIN slots ON slots.source = b.source AND slots.turn = block % units"""
 
-SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL}
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM r"""
+
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL}
