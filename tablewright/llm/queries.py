@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, mixing, neardup, pieces, quality, warc
+from tablewright.llm import fingerprint, language, mixing, neardup, packing, pieces, quality, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
+def op2_pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenise(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
+    "op2_pack_ids": op2_pack_ids,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
