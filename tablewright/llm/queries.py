@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, mixing, neardup, packing, pieces, quality, warc
+from tablewright.llm import fingerprint, language, licenses, mixing, neardup, packing, pieces, quality, transcripts, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_pack_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.recover(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenise(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), settings=neardup.Settings(shingle=4))
 
@@ -48,7 +56,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_pack_ids": op2_pack_ids,
+    "op3_transcripts": op3_transcripts,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scan": op5_license_scan,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_fingerprints": op8_fingerprints,
