@@ -115,9 +115,9 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", units
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", units: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """All rows of ``docs`` in their mixed order: ranges of slots, sorted inside; written out, file by file in that order."""
-    placed = schedule(docs, key, source, units, settings).select(F.col(key).alias("_id"), F.col(source).alias("_source"), "slot", "place")
-    at = fresh(docs, "_at")
-    placed = placed.select("_id", "_source", F.struct("slot", "place").alias(at))
-    same = docs[key].eqNullSafe(placed["_id"]) & (F.coalesce(docs[source], F.lit("")) == placed["_source"])
-    placed = docs.join(placed, same).drop("_id", "_source")
-    return placed.repartitionByRange(at).sortWithinPartitions(at).drop(at)
+    own, of, at = fresh(docs, "_id"), fresh(docs, "_source"), fresh(docs, "_at")
+    placed = schedule(docs, key, source, units, settings)
+    placed = placed.select(F.col(key).alias(own), F.col(source).alias(of), F.struct("slot", "place").alias(at))
+    same = docs[key].eqNullSafe(placed[own]) & (F.coalesce(docs[source], F.lit("")) == placed[of])
+    mixed = docs.join(placed, same).drop(own, of)
+    return mixed.repartitionByRange(at).sortWithinPartitions(at).drop(at)

@@ -1,0 +1,18 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import fixtures  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return fixtures.clashing(spark.createDataFrame(fixtures.odd_rows(), fixtures.DOC).repartition(3))
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return fixtures.clashing(spark.createDataFrame([], fixtures.DOC))

@@ -1,0 +1,72 @@
+import random
+
+import fixtures
+import numpy as np
+
+from tablewright.llm import language
+
+
+def corpus(spark, n=240):
+    rng = random.Random(9)
+    letters = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "er", "ung", "ei"], "cc": ["ción", "os", "ar", "ñe"]}
+    # Most words are made anew for every document, so they are unseen when scored.
+    rows = []
+    for i in range(n):
+        lang = ["aa", "bb", "cc"][i % 3]
+        rows.append((i, fixtures.sentence(rng, 30, fixtures.words_of_language(rng, letters[lang], 40)), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_held_out_accuracy(spark):
+    docs = corpus(spark)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [d for d, r in got.items() if r.held_out]
+    assert len(got) == 240 and 40 < len(held) < 120
+    assert sum(got[d].lang_pred == truth[d] for d in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_held_out_is_crc32(spark):
+    import zlib
+
+    rows = language.identify(corpus(spark, 30)).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def test_labels_of_held_out_rows_are_not_read(spark):
+    docs = corpus(spark)
+    lied = docs.withColumn("lang", language.F.when(language.is_held_out(docs["doc_id"]), "zz").otherwise(docs["lang"]))
+    a = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    b = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(lied).collect()}
+    assert a == b
+
+
+def test_backoff_order():
+    tables = {0: {"abc": 0}, 1: {"x": 1}, 2: {"xy": 2}, 3: {}}
+    model = language.Model(["l"], tables, np.array([[1.0], [5.0], [3.0], [7.0]]), 3)
+    assert model.score_words(["abc", "xy", "zx", "q"])[:, 0].tolist() == [1.0, 3.0, 5.0, 7.0]
+
+
+def test_memory_of_words_is_bounded_and_harmless(spark):
+    docs = corpus(spark, 60)
+    model = language.train(docs)
+    texts = [r.text for r in docs.collect()]
+    want = [model.predict(t) for t in texts]
+    small = language.Model(model.languages, model.tables, model.scores, model.longest)
+    small.REMEMBERED = 50
+    assert [small.predict(t) for t in texts] == want
+
+
+def test_defined_results(spark, odd, none):
+    rows = language.identify(odd).collect()
+    assert len(rows) == len(fixtures.odd_rows())
+    for r in rows:
+        text = next(t for d, t, *_ in fixtures.odd_rows() if d == r.doc_id)
+        nothing = not text or not any(map(str.isalpha, text))
+        assert (r.lang_pred == "und" and r.score == 0) == nothing, r
+    assert language.identify(none).count() == 0
+    unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert language.identify(unlabelled).first().lang_pred == "und"
+    kept = language.keep_identified(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
