@@ -37,7 +37,7 @@ from tablewright.llm.license_texts import TEMPLATES
 #: Words that make a sentence a candidate; also read by Spark's regular expressions.
 CUES = (
     r"(?i)licen[sc]|copyright|\bwarrant|merchantab|sublicens|redistribut|hereby granted|free of charge|"
-    r"rights reserved|public domain|spdx|\bcc[ -]by\b|\bcc0\b|noninfring|liab(?:le|ility)|permission"
+    r"rights reserved|public domain|spdx|\bmpl\b|\bgpl\b|\bcc[ -]by\b|\bcc0\b|noninfring|liab(?:le|ility)|permission"
 )
 _CUE = re.compile(CUES)
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)")

@@ -1,0 +1,102 @@
+import os
+import struct
+
+import fixtures
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from tablewright.llm import pieces
+
+ODD_TEXTS = [
+    "", " ", "  a  b ", "tab\tand\n\nlines\r\n", "日本語テスト 😀 é", "▁▁ a▁b", "aaaaaaa ---- ====== ....... !!!", "<s> </s> <unk> <0x41>",
+    "a b c", "\x00\x01 control", "ﬁ ligature ① Ⅷ", "x" * 3000, "Ünïcödé " * 50,
+]
+
+
+def message(*fields):
+    """Bytes of a protobuf message from (number, value) fields."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(data)) + data
+    return out
+
+
+def unigram_model(trim=True, fallback=True):
+    """A unigram model put together by hand."""
+    names = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    names += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    words = ["▁", "▁the", "▁cat", "▁c", "at", "a", "t", "h", "e", "c", "s", "▁s", "he", "▁sat", "th", "▁▁", "o", "n", "on", "▁on"]
+    names += [(w, -2.0 - 0.37 * i, 1) for i, w in enumerate(words)]
+    body = [(1, message((1, n), (2, s), (3, k))) for n, s, k in names]
+    trainer = message((3, 1), (4, len(names)), (35, int(fallback)), (40, 0), (41, 1), (42, 2), (43, (1 << 64) - 1))
+    normaliser = message((1, "identity"), (2, b""), (3, 1), (4, int(trim)), (5, 1))
+    return message(*body, (2, trainer), (3, normaliser))
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(pieces.default_model(), "rb") as file:
+        return pieces.Codec(file.read())
+
+
+def test_bpe_parity_and_round_trip(codec):
+    judge = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    assert codec.encode(ODD_TEXTS) == judge.encode(ODD_TEXTS)
+    for text, row in zip(ODD_TEXTS, codec.rows(ODD_TEXTS), strict=True):
+        assert row[2] and (row[3] or "▁" in text), text
+    assert codec.model.kind == pieces.BPE and codec.model.marks_only_lead()
+
+
+@pytest.mark.parametrize("trim", [True, False])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_parity(trim, fallback):
+    data = unigram_model(trim, fallback)
+    codec = pieces.Codec(data)
+    texts = ["the cat sat", "  the   cat ", "cathesonat", "", "tt hh ee", "on the cat on the sat", "zebra é" if fallback else "zebra"]
+    assert codec.model.kind == pieces.UNIGRAM
+    assert codec.encode(texts) == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
+
+
+def test_other_model_types_are_refused():
+    data = unigram_model() + message((2, message((3, 3))))
+    with pytest.raises(ValueError, match="not a unigram or BPE"):
+        pieces.PieceModel.parse(data).tokenizer()
+
+
+def test_table_and_decoding(spark, odd, none):
+    rows = pieces.tokenise(odd).collect()
+    texts = {d: t or "" for d, t, *_ in fixtures.odd_rows()}
+    assert len(rows) == len(fixtures.odd_rows())
+    judge = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    for r in rows:
+        assert r.ids == judge.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.parity and r.round_trip
+        assert r.n_bytes == sum(judge.is_byte(i) for i in r.ids)
+    back = pieces.tokenise(odd)
+    back = back.select("doc_id", pieces.decoded(back).alias("text")).collect()
+    assert all(r.text == texts[r.doc_id] for r in back)
+    assert pieces.tokenise(none).count() == 0
+
+
+def test_model_path_is_a_parameter(spark, tmp_path):
+    path = os.path.join(tmp_path, "own.model")
+    with open(path, "wb") as file:
+        file.write(unigram_model())
+    df = spark.createDataFrame([(1, "the cat"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in pieces.tokenise(df, model_path=path).collect()}
+    assert got == {1: sentencepiece.SentencePieceProcessor(model_file=path).encode("the cat"), 2: []}
+    assert df.select(F.lit(1)).count() == 2
