@@ -120,7 +120,8 @@ def with_next(docs: DataFrame, key: str, text: str, settings: Settings) -> DataF
     before = F.struct((F.col("place") / size - 1).cast("long").alias("run"), F.col("place").alias("at"), F.lit(True).alias("copy"))
     around = F.struct(((F.col("total") - 1) / size).cast("long").alias("run"), F.col("total").alias("at"), F.lit(True).alias("copy"))
     spots = F.when(F.col("place") == 0, F.array(own, around)).when(F.col("place") % size == 0, F.array(own, before)).otherwise(F.array(own))
-    placed = rows.join(order, "id").select("id", "text", F.explode(spots).alias("spot")).select("id", "text", "spot.*")
+    # The places grow with the documents: they are shuffled at every size, never broadcast.
+    placed = rows.join(order.hint("merge"), "id").select("id", "text", F.explode(spots).alias("spot")).select("id", "text", "spot.*")
     # Dealt by run first, so that codes are made after the shuffle and never sent.
     placed = placed.repartition("run").withColumn("codes", codes(F.col("text"), settings))
     following = Window.partitionBy("run").orderBy("at").rangeBetween(1, 1)
