@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.joins import attach
+from tablewright.operators.joins import attach, fits_broadcast
 from tablewright.operators.ordering import global_index
 from tablewright.session import materialize
 
@@ -46,31 +46,38 @@ def _stack(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def label_dictionary(dfs: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+def label_dictionary(dfs: Sequence[DataFrame], columns: Sequence[str], code_type: str = "int") -> DataFrame:
     """(column, value, code): codes 0..k-1 in code-point order of the values.
 
-    Null is the value ``"nan"``. One aggregate covers all columns; ``columns``
-    should have passed :func:`encodable`, which bounds each ranking.
+    Null is the value ``"nan"``. One aggregate covers all columns, and the
+    values are ranked by ranges, so a column may have any number of them.
+    A code that ``code_type`` cannot hold fails the job.
     """
     both = _stack(dfs).select(*columns)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
-    values = both.select(F.inline(pairs)).distinct()
-    code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-    return values.select("column", "value", code.cast("int").alias("code"))
+    placed = global_index(both.select(F.inline(pairs)).distinct(), ["column", "value"], "_at")
+    # As many rows as there are columns to code.
+    first = placed.groupBy("column").agg(F.min("_at").alias("_first"))
+    ranked = placed.join(F.broadcast(first), "column")
+    return ranked.select("column", "value", (F.col("_at") - F.col("_first")).cast(code_type).alias("code"))
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], unseen: int | None = None) -> DataFrame:
     """Replace values by codes; a value the dictionary lacks gets ``unseen``.
 
-    Gated dictionaries have fewer than ``MAX_CARDINALITY`` values a column, so
-    they are broadcast and the table is not shuffled.
+    A dictionary that is small enough as a whole is broadcast, so the table is
+    not shuffled; otherwise each column is joined by its own size.
     """
+    small = fits_broadcast(dictionary)
     out = df
     for c in columns:
         codes = dictionary.where(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}")
         )
-        out = out.join(F.broadcast(codes), _text(c) == F.col(f"_v_{c}"), "left")
+        if small:
+            out = out.join(F.broadcast(codes), _text(c) == F.col(f"_v_{c}"), "left")
+        else:
+            out = attach(out.withColumn(f"_v_{c}", _text(c)), codes, f"_v_{c}")
     coded = {c: F.coalesce(F.col(f"_c_{c}"), F.lit(unseen)) if unseen is not None else F.col(f"_c_{c}") for c in columns}
     return out.select(*[coded[c].alias(c) if c in coded else F.col(c) for c in df.columns])
 
@@ -82,27 +89,16 @@ def label_encode(
     """Encode several tables with one dictionary fitted on all of them.
 
     Returns the encoded tables, the dictionary and the encoded column names.
-    ``columns="strings"`` takes every string column without the gate on the
-    number of values; columns beyond the gate are numbered like ids.
+    Without ``columns`` those string columns are taken that have fewer than
+    ``max_card`` values. ``columns="strings"`` takes every string column; its
+    codes are ``bigint``, however many values there are.
     """
     tables = list(dfs.values())
     if columns == "strings":
-        every = string_columns(_stack(tables), exclude)
-        small = encodable(tables, max_card, exclude)
-        coded, dictionary, _ = label_encode(dfs, small)
-        for c in every:
-            if c not in small:
-                codes = dense_id_dictionary(tables, c)
-                coded = {tag: _apply_ids(df, codes, c, c) for tag, df in coded.items()}
-                dictionary = dictionary.unionByName(
-                    codes.select(F.lit(c).alias("column"), "value", F.col("code").cast("int").alias("code"))
-                )
-        return coded, dictionary, every
-    if columns is None:
-        names = encodable(tables, max_card, exclude)
+        names, code_type = string_columns(_stack(tables), exclude), "bigint"
     else:
-        names = list(columns)
-    dictionary = materialize(label_dictionary(tables, names), "codes")
+        names, code_type = encodable(tables, max_card, exclude) if columns is None else list(columns), "int"
+    dictionary = materialize(label_dictionary(tables, names, code_type), "codes")
     coded = {
         tag: apply_dictionary(df, dictionary, [c for c in names if c in df.columns]) for tag, df in dfs.items()
     }
@@ -132,22 +128,43 @@ def _apply_ids(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataF
     return joined.select(*kept, F.col("_code").alias(name))
 
 
-def one_hot(
-    df: DataFrame, columns: Sequence[str], values: Mapping[str, Sequence[str]] | None = None, max_columns: int = 10_000
-) -> DataFrame:
-    """Replace string columns by 0/1 columns ``<column>_<value>``.
+def one_hot(df: DataFrame, columns: Sequence[str], values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Replace string columns by 0/1 columns ``<column>_<value>`` for the given values.
 
-    Null has no column of its own. The values become column names, so they
-    have to fit in a schema: more than ``max_columns`` is an error.
+    Null has no column of its own. The values become column names, so they are
+    the caller's to choose; :func:`one_hot_sparse` takes any number of them.
     """
-    if values is None:
-        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
-        found = df.select(F.inline(pairs)).where("v is not null").distinct().limit(max_columns + 1).collect()
-        if len(found) > max_columns:
-            raise ValueError(f"one-hot encoding would need more than {max_columns} columns")
-        values = {c: sorted(r.v for r in found if r.c == c) for c in columns}
     rest = [F.col(c) for c in df.columns if c not in columns]
     flags = [
         F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in values[c]
     ]
     return df.select(*rest, *flags)
+
+
+def dictionary_values(dictionary: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Values by column of a dictionary that is meant to become columns; null's has none."""
+    found = dictionary.where(F.col("column").isin(list(columns)) & (F.col("value") != MISSING)).orderBy("column", "code").collect()
+    return {c: [r.value for r in found if r.column == c] for c in columns}
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], dictionary: DataFrame, name: str = "active") -> DataFrame:
+    """Replace string columns by the sorted positions of their ones.
+
+    The dictionaries of the columns stand one behind the other; null and
+    values the dictionary lacks have no position.
+    """
+    sizes = dictionary.groupBy("column").agg(F.max("code").cast("long").alias("_last"))
+    last = {r["column"]: r["_last"] for r in sizes.collect()}  # a row for each column
+    coded = apply_dictionary(df.select("*", *[F.col(c).alias(f"_hot_{c}") for c in columns]), _renamed(dictionary, columns), [f"_hot_{c}" for c in columns])
+    start, places = 0, []
+    for c in columns:
+        places.append(F.when(F.col(c).isNotNull(), F.col(f"_hot_{c}").cast("long") + F.lit(start)))
+        start += last.get(c, -1) + 1
+    active = F.array_compact(F.array(*places))
+    return coded.select(*[F.col(c) for c in df.columns if c not in columns], active.alias(name))
+
+
+def _renamed(dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return materialize(
+        dictionary.where(F.col("column").isin(list(columns))).withColumn("column", F.concat(F.lit("_hot_"), F.col("column"))), "codes"
+    )

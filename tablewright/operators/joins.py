@@ -10,10 +10,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.session import materialize
+from tablewright.session import materialize, plain_bytes
 
-HOT_SHARE = 0.002
-SALTS = 32
+#: A key with more than this share of the rows, and more rows than one task should have, is hot.
+HOT_SHARE = 1e-5
+TASK_ROWS = 1_000_000
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -32,89 +33,102 @@ def assemble(base: DataFrame, features: Sequence[DataFrame], key: str | Sequence
 def _broadcast_limit(spark: SparkSession) -> int:
     """``spark.sql.autoBroadcastJoinThreshold`` in bytes; 0 when switched off."""
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", text).groups()
-    return max(int(number), 0) * 1024 ** " kmgt".index(unit or " ")
+    found = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", text)
+    if not found:
+        raise ValueError(f"spark.sql.autoBroadcastJoinThreshold is not a size: {text}")
+    number, unit = found.groups()
+    return max(int(number), 0) * 1024 ** " kmgtp".index(unit or " ")
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a stored table against the broadcast threshold of the session.
+    """Hold the size of a stored table against the broadcast threshold of the session.
 
-    A type whose size is not plain to measure counts as too large.
+    The size was measured when the table was written; a table that was not
+    stored here is measured now. A type whose size is not plain to measure
+    counts as too large.
     """
     limit = _broadcast_limit(df.sparkSession)
-    nested = [t for _, t in df.dtypes if t.startswith(("map", "struct")) or (t.startswith("array") and ("<" in t[6:] or "string" in t))]
-    if not limit or nested:
+    if not limit:
         return False
-    wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
-    listed = [F.coalesce(F.sum(F.size(c)), F.lit(0)) * 8 for c, t in df.dtypes if t.startswith("array")]
-    fixed = F.count(F.lit(1)) * (16 + 8 * len(df.columns))
-    return df.agg(reduce(lambda a, b: a + b, [fixed, *wide, *listed]).alias("bytes")).first()["bytes"] <= limit
+    known = getattr(df, "_stored_bytes", None)
+    if known is None:
+        size = plain_bytes(df)
+        if size is None:
+            return False
+        known = df.agg(size.alias("bytes")).first()["bytes"]
+    return known <= limit
 
 
 def attach(
     items: DataFrame, stats: DataFrame, key: str | Sequence[str],
     fill: Mapping[str, Any] | None = None, weight: str | None = None,
     how: str = "left", store: bool = True, salt_by: Sequence[str] | None = None,
-    hot: DataFrame | None = None,
+    hot: DataFrame | None = None, even: bool = False,
 ) -> DataFrame:
     """Join statistics, one row per key, to items.
 
     The statistics are stored (unless ``store`` is off because they are
-    already) and measured. Small ones are broadcast, so ``items`` is not
-    shuffled; larger ones take :func:`salted_attach`. ``weight`` names a
-    column of ``stats`` with the row count behind each key; it tells the hot
-    keys and is dropped. Without it they are counted in ``items``.
+    already) and their size is known from that. Small ones are broadcast, so
+    ``items`` is not shuffled; larger ones take :func:`salted_attach`.
+    ``weight`` names a column of ``stats`` with the row count behind each key;
+    it tells the hot keys and is dropped. Without it they are counted in
+    ``items``, unless ``even`` says that no key has many rows.
     """
     keys = _keys(key)
     if store:
         stats = materialize(stats, "stats")
+    plain = stats.drop(weight) if weight else stats
     if fits_broadcast(stats):
-        joined = items.join(F.broadcast(stats.drop(weight) if weight else stats), keys, how)
+        joined = items.join(F.broadcast(plain), keys, how)
+    elif even:
+        joined = items.join(plain, keys, how)
     else:
         joined = salted_attach(items, stats, keys, weight, how, salt_by=salt_by, hot=hot)
     return joined.fillna(dict(fill)) if fill else joined
 
 
-def hot_keys(sizes: DataFrame, key: str | Sequence[str], size: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the total size.
+def hot_keys(
+    sizes: DataFrame, key: str | Sequence[str], size: str, share: float = HOT_SHARE, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Keys that hold more than ``share`` of the total size and more than ``task_rows``.
 
-    There are fewer than ``1 / share`` of them, whatever the data.
+    There are fewer than ``1 / share`` of them, whatever the data. ``_parts``
+    is the number of tasks the rows of a key should be spread over.
     """
     total = sizes.agg(F.sum(size).cast("double").alias("_total")).scalar()
-    large = F.col(size).cast("double") > F.lit(share) * total
-    return materialize(sizes.where(large).select(*_keys(key), F.lit(True).alias("_hot")), "hot")
+    most = F.greatest(F.lit(float(task_rows)), F.lit(share) * total)
+    parts = F.ceil(F.col(size).cast("double") / most).cast("int")
+    return materialize(sizes.select(*_keys(key), parts.alias("_parts")).where("_parts > 1"), "hot")
 
 
 def salted_attach(
     items: DataFrame, stats: DataFrame, key: str | Sequence[str], weight: str | None = None,
-    how: str = "left", salts: int = SALTS, hot_share: float = HOT_SHARE,
+    how: str = "left", hot_share: float = HOT_SHARE, task_rows: int = TASK_ROWS,
     salt_by: Sequence[str] | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join that spreads the rows of hot keys over ``salts`` tasks.
+    """Join that spreads the rows of each hot key over as many tasks as its size asks for.
 
     The list of hot keys (:func:`hot_keys`, found here unless given) is short
     by construction and broadcast. Only their statistics are repeated. The
     salt is a hash of the row, hence the same when a task is run again. Rows
-    without a key match nothing and are spread likewise.
+    without a key match nothing and are spread over 1024 salts.
     """
     keys = _keys(key)
     if hot is None and weight is None:
-        hot = hot_keys(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys, "_size", hot_share)
+        hot = hot_keys(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys, "_size", hot_share, task_rows)
     elif hot is None:
-        hot = hot_keys(stats.select(*keys, weight), keys, weight, hot_share)
+        hot = hot_keys(stats.select(*keys, weight), keys, weight, hot_share, task_rows)
     spread_over = salt_by or [c for c in items.columns if c not in keys] or keys
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(
-        F.col("_hot").isNotNull() | no_key, F.pmod(F.hash(*spread_over), F.lit(salts))
-    ).otherwise(F.lit(0))
-    salted = items.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
+    parts = F.when(no_key, F.lit(1024)).otherwise(F.coalesce("_parts", F.lit(1)))
+    salted = items.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.hash(*spread_over), parts))
     copies = (
         (stats.drop(weight) if weight else stats)
         .join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        .drop("_parts")
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_hot")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_parts")
 
 
 def outer_zero(a: DataFrame, b: DataFrame, key: str | Sequence[str], value: Any = 0) -> DataFrame:

@@ -23,16 +23,6 @@ def hash_fold(key, n: int, seed: int | str = 0) -> Column:
     return F.pmod(F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the input came as too few splits.
-
-    A text file of one row group is one task however much work each row is.
-    Inputs with enough splits, as on a cluster, pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def global_index(
     df: DataFrame, order: Sequence, name: str = "row_index", total: str | None = None
 ) -> DataFrame:

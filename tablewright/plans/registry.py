@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.joins import attach
-from tablewright.operators.ordering import widen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +50,7 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return widen(self.documents.select("doc_id", "text"))
+        return self.documents.select("doc_id", "text")
 
     @cached_property
     def places(self) -> DataFrame:
@@ -77,7 +76,7 @@ class Tables:
         """Line items as listing periods of their order."""
         lines = self.lineitem.select(F.col("l_orderkey").alias("item_id"), "l_shipdate")
         dates = self.orders.select(F.col("o_orderkey").alias("item_id"), "o_orderdate")
-        joined = attach(lines, dates, "item_id", how="inner", store=False)
+        joined = attach(lines, dates, "item_id", how="inner", store=False, even=True)
         return joined.select(
             "item_id", F.least("o_orderdate", "l_shipdate").alias("date_from"),
             F.greatest("o_orderdate", "l_shipdate").alias("date_to"),

@@ -13,7 +13,7 @@ from tablewright.operators import model
 from tablewright.operators import ordering as o
 from tablewright.operators import sets as s
 from tablewright.plans.registry import ITEMS, Tables, query, rounded
-from tablewright.session import fresh_path
+from tablewright.session import fresh_path, materialize
 from tablewright.sources import images as im
 from tablewright.sources import tables as st
 from tablewright.streaming.resume import process_new_files
@@ -122,10 +122,14 @@ def geo_enrich(t: Tables):
     return placed.select("item_id", "region_city", "population", "latitude", "longitude")
 
 
-@query("key_normalise", r"""SELECT page_id,
-regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\.jpg$', '') AS image FROM pages""")
+@query("key_normalise", r"""WITH named AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url
+  ELSE regexp_replace(url, '[?#].*$', '') || '.jpg' || CASE WHEN page_id % 3 = 1 THEN '?size=2' ELSE '' END END AS url FROM pages)
+SELECT page_id, regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\.jpg$', '') AS image FROM named""")
 def key_normalise(t: Tables):
-    return t.pages.select("page_id", im.image_key("url").alias("image"))
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    picture = F.concat(bare, F.lit(".jpg"), F.when(F.col("page_id") % 3 == 1, F.lit("?size=2")).otherwise(F.lit("")))
+    named = t.pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(picture))
+    return named.select("page_id", im.image_key("url").alias("image"))
 
 
 @query("param_concat", """SELECT p_partkey, p_brand || ' ' || coalesce(nullif(p_type, 'ECONOMY'), '') || ' ' || p_name
@@ -227,6 +231,16 @@ def stratified_split_zero(t: Tables):
     return model.stratified_split(t.labels.drop("toxic"), "doc_id", F.col("quality") != 0, 0.2, seed=1)
 
 
+@query("stratified_split_null", """WITH b AS (SELECT d.doc_id, quality FROM documents d LEFT JOIN labels USING (doc_id)),
+w AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n,
+row_number() OVER (PARTITION BY quality ORDER BY md5('3:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM b)
+SELECT doc_id, quality, rn <= round_even(CAST(0.2 AS DOUBLE) * n, 0) AS is_test FROM w""")
+def stratified_split_null(t: Tables):
+    """Documents without a label are a stratum of their own."""
+    labelled = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return model.stratified_split(labelled, "doc_id", F.col("quality"), 0.2, seed=3, digits=1, most=50)
+
+
 # Encoding
 
 PART_CODES = ("p_name", "p_brand", "p_type")
@@ -260,7 +274,7 @@ def label_dictionary(t: Tables):
 FROM (SELECT DISTINCT p_name FROM part WHERE p_size <= 3))
 SELECT p_partkey, coalesce(code, -1) AS p_name FROM part LEFT JOIN d USING (p_name)""")
 def label_apply(t: Tables):
-    dictionary = e.label_dictionary([t.part.where("p_size <= 3").select("p_name")], ["p_name"])
+    dictionary = materialize(e.label_dictionary([t.part.where("p_size <= 3").select("p_name")], ["p_name"]), "codes")
     return e.apply_dictionary(t.part.select("p_partkey", "p_name"), dictionary, ["p_name"], unseen=-1)
 
 
@@ -284,7 +298,31 @@ def one_hot(t: Tables):
     orders = t.orders.select(
         "o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority")
     )
-    return e.one_hot(orders, ["o_orderstatus", "o_orderpriority"])
+    columns = ["o_orderstatus", "o_orderpriority"]
+    return e.one_hot(orders, columns, e.dictionary_values(e.label_dictionary([orders], columns), columns))
+
+
+@query("one_hot_sparse", """WITH o AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS p FROM orders),
+s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM o)),
+q AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(p, 'nan') AS v FROM o))
+SELECT o_orderkey, s.code || CASE WHEN p IS NULL THEN '' ELSE ',' || (q.code + (SELECT count(*) FROM s)) END AS active
+FROM o JOIN s ON s.v = o_orderstatus JOIN q ON q.v = coalesce(p, 'nan')""")
+def one_hot_sparse(t: Tables):
+    orders = t.orders.select(
+        "o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority")
+    )
+    columns = ["o_orderstatus", "o_orderpriority"]
+    coded = e.one_hot_sparse(orders, columns, materialize(e.label_dictionary([orders], columns), "codes"))
+    return coded.select("o_orderkey", F.array_join("active", ",").alias("active"))
+
+
+@query("label_encode_strings", """SELECT doc_id, dense_rank() OVER (ORDER BY text) - 1 AS text, dense_rank() OVER (ORDER BY lang) - 1 AS lang,
+dense_rank() OVER (ORDER BY coalesce(nullif(source, 'src3'), 'nan')) - 1 AS source, n_chars FROM documents""")
+def label_encode_strings(t: Tables):
+    """Every string column is coded, also one with a value of its own in each row."""
+    docs = t.documents.withColumn("source", F.nullif("source", F.lit("src3")))
+    coded, _, _ = e.label_encode({"all": docs}, "strings")
+    return coded["all"]
 
 
 # Round trips through storage
@@ -296,7 +334,7 @@ def csv_roundtrip_scan(t: Tables):
     word = F.when(F.col("lang") == "fr", "NA").when(F.col("lang") == "es", "").otherwise("null")
     docs = t.documents.select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"), word.alias("word"))
     path = st.write_csv(docs, fresh_path(t.spark, "csv"), null_value=r"\N", max_rows_per_file=100_000)
-    back = st.read_items(t.spark, path, docs.schema, ["doc_id", "text", "lang", "word"], null_value=r"\N")
+    back = st.read_items(t.spark, path, docs.schema, ["doc_id", "text", "lang", "word"], null_value=r"\N", multiline=True)
     return back.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "word")
 
 
@@ -312,7 +350,7 @@ def quarantine_rows(t: Tables):
     )
     path = st.write_csv(raw, fresh_path(t.spark, "csv"))
     back = st.read_items(
-        t.spark, path, t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").schema, keep_malformed=True, multiline=False
+        t.spark, path, t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").schema, keep_malformed=True
     )
     rules = {"user type in category": F.col("o_orderstatus").isin(*STATUSES)}
     good, bad = st.split_malformed(back, rules)

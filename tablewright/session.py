@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Collection, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tablewright", master: str | None = None, **conf) -> SparkSession:
@@ -67,20 +70,74 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI of the file system that Spark takes it from."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def remove_stages(spark: SparkSession, keep: Collection[str] = ()) -> int:
+    """Delete the intermediate tables of this session, once their results are read.
+
+    Only paths that :func:`fresh_path` gave out are touched. Returns how many.
+    """
+    mine = _STAGES.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in mine if p not in keep]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(conf).delete(hadoop, True)
+        mine.remove(path)
+    return len(gone)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Remove what is stored inside the block when it ends; read the results in it."""
+    before = set(_STAGES.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        remove_stages(spark, before)
+
+
+def plain_bytes(df: DataFrame) -> Column | None:
+    """Aggregate for the size of ``df`` in memory; None where a type has no plain size."""
+    kinds = dict(df.dtypes)
+    if any(t.startswith(("map", "struct")) or (t.startswith("array") and ("<" in t[6:] or "string" in t)) for t in kinds.values()):
+        return None
+    wide = [F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c, t in kinds.items() if t in ("string", "binary")]
+    listed = [F.coalesce(F.sum(F.size(f"`{c}`")), F.lit(0)) * 8 for c, t in kinds.items() if t.startswith("array")]
+    fixed = F.count(F.lit(1)) * (16 + 8 * len(kinds))
+    return reduce(lambda a, b: a + b, [fixed, *wide, *listed]).cast("long")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and freezes values such as row
-    numbers that must not change when a task is run again.
+    numbers that must not change when a task is run again. The size is
+    measured while the table is written and kept with the result.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = plain_bytes(df)
+    measured = Observation()
+    watched = df if size is None else df.observe(measured, size.alias("bytes"))
+    watched.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_bytes = None if size is None else measured.get["bytes"]
+    return stored
 
 
 def materialize_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

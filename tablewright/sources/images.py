@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.session import qualified
+
 
 def image_key(c, extension: str = ".jpg") -> Column:
     """Last path segment without query, fragment and file extension."""
@@ -19,15 +20,15 @@ def image_key(c, extension: str = ".jpg") -> Column:
     return F.regexp_replace(last, r"\Q" + extension + r"\E$", "")
 
 
-def read_images(spark: SparkSession, path: str, min_rows: int = 16) -> DataFrame:
+def read_images(spark: SparkSession, path: str) -> DataFrame:
     """All images of a folder as (image, height, width, nChannels, mode, data).
 
-    A file that cannot be decoded, or has fewer than ``min_rows`` pixel rows,
-    keeps its key with null pixels. ``data`` holds rows of B, G, R bytes.
+    A file that cannot be decoded keeps its key with null pixels. ``data``
+    holds rows of B, G, R bytes.
     """
     raw = spark.read.format("image").option("dropInvalid", False).load(path)
     name = F.element_at(F.split(F.col("image.origin"), "/"), -1)
-    ok = (F.col("image.height") >= min_rows) & (F.col("image.height") > 0)
+    ok = F.col("image.height") > 0
     fields = [
         F.when(ok, F.col(f"image.{f}")).alias(f)
         for f in ("height", "width", "nChannels", "mode", "data")
@@ -35,42 +36,32 @@ def read_images(spark: SparkSession, path: str, min_rows: int = 16) -> DataFrame
     return raw.select(F.regexp_replace(name, r"\.[A-Za-z]+$", "").alias("image"), *fields)
 
 
-def png_bytes(height: int, width: int, bgr: bytes) -> bytes:
-    """An 8-bit RGB PNG of a B, G, R pixel buffer."""
-    pixels = bytearray(bgr)
-    pixels[0::3], pixels[2::3] = pixels[2::3], pixels[0::3]
-    row = width * 3
-    scan = b"".join(b"\x00" + bytes(pixels[i * row:(i + 1) * row]) for i in range(height))
-
-    def chunk(tag: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
-
-    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(scan)) + chunk(b"IEND", b"")
-
-
 def write_images(df: DataFrame, path: str) -> DataFrame:
-    """Write (image, height, width, data) rows as PNG files from the tasks.
+    """Write (image, data) rows, encoded pictures, as files from the tasks.
 
-    A row whose ``height`` is null is written as it stands in ``data``. Files
-    are named by key, so a task that runs twice writes the same file again.
-    Returns a one-row DataFrame with the number of files.
+    ``path`` is taken as Spark takes it, from the default file system unless it
+    names one. Files are written under a name of their own and renamed when
+    they are whole, so a task that runs twice replaces its files. Returns a one-row
+    DataFrame with the number of files.
     """
-    target = path
+    target = qualified(df.sparkSession, path)
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, folder = fs.FileSystem.from_uri(target if "://" in target or target.startswith("file:/") else f"file://{target}")
+        # Hadoop writes a local path with one slash.
+        uri = target if "://" in target else target.replace("file:/", "file:///", 1)
+        system, folder = fs.FileSystem.from_uri(uri)
         system.create_dir(folder, recursive=True)
         n = 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                body = row.data if pd.isna(row.height) else png_bytes(int(row.height), int(row.width), row.data)
-                with system.open_output_stream(f"{folder}/{row.image}.png") as out:
-                    out.write(body)
+                part = f"{folder}/.{row.image}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(row.data)
+                system.move(part, f"{folder}/{row.image}.png")
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    files = df.select("image", "height", "width", "data").mapInPandas(save, "n long")
+    files = df.select("image", "data").mapInPandas(save, "n long")
     return files.agg(F.sum("n").alias("n_files"))

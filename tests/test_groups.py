@@ -116,6 +116,7 @@ def test_cardinality_gate_is_exact_near_the_limit(spark):
     assert e.encodable([df]) == ["below"]
     coded, dictionary, names = e.label_encode({"x": df}, "strings")
     assert names == ["at", "below"] and dictionary.where("column = 'at'").count() == 3000
+    assert dict(coded["x"].dtypes) == {"at": "bigint", "below": "bigint"}
     assert coded["x"].agg(F.max("at"), F.min("at"), F.count_distinct("at")).first()[:] == (2999, 0, 3000)
 
 
@@ -130,9 +131,14 @@ def test_dense_ids_are_ranks(spark, join_mode):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, c string")
-    assert rows(e.one_hot(df, ["c"]), "id") == [(1, 1, 0), (2, 0, 0), (3, 0, 1)]
-    with pytest.raises(ValueError):
-        e.one_hot(df, ["c"], max_columns=1)
+    codes = e.label_dictionary([df], ["c"])
+    values = e.dictionary_values(codes, ["c"])
+    assert values == {"c": ["x", "y"]}
+    assert rows(e.one_hot(df, ["c"], values), "id") == [(1, 1, 0), (2, 0, 0), (3, 0, 1)]
+    two = df.withColumn("d", F.lit("z"))
+    sparse = e.one_hot_sparse(two, ["c", "d"], e.label_dictionary([two], ["c", "d"]))
+    # nan, x, y, then z.
+    assert rows(sparse, "id") == [(1, [1, 3]), (2, [3]), (3, [2, 3])]
 
 
 @pytest.mark.parametrize("digits", [1, 4])

@@ -133,10 +133,10 @@ def test_csv_messy(spark):
     words = [(1, 'two\nlines, "quoted"'), (2, "nan"), (3, "null"), (4, "NA"), (5, ""), (6, None), (7, "  padded "), (8, "a\r\nb")]
     df = spark.createDataFrame(words, "id int, text string")
     path = st.write_csv(df, fresh_path(spark, "csv"), null_value=r"\N")
-    assert rows(st.read_items(spark, path, df.schema, null_value=r"\N"), "id") == words
+    assert rows(st.read_items(spark, path, df.schema, null_value=r"\N", multiline=True), "id") == words
     # With the plain setting empty and missing text are both missing.
     path = st.write_csv(df, fresh_path(spark, "csv"))
-    assert rows(st.read_items(spark, path, df.schema, columns=["text"]).where("text is null").agg(F.count("*"))) == [(2,)]
+    assert rows(st.read_items(spark, path, df.schema, columns=["text"], multiline=True).where("text is null").agg(F.count("*"))) == [(2,)]
 
 
 def test_split_malformed(spark):
@@ -144,7 +144,7 @@ def test_split_malformed(spark):
     lines = ["id,region,price", "1,North,10.0", "2,North,abc", "3,10,5.0", "4,,5.0"]
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
     schema = T.StructType().add("id", T.IntegerType()).add("region", T.StringType()).add("price", T.DoubleType())
-    raw = st.read_items(spark, path, schema, keep_malformed=True, multiline=False)
+    raw = st.read_items(spark, path, schema, keep_malformed=True)
     good, bad = st.split_malformed(raw, {"shifted": ~F.col("region").rlike("^[0-9]+$")})
     assert rows(good, "id") == [(1, "North", 10.0), (4, None, 5.0)]
     assert rows(bad.select("id", "reject_reason"), "id") == [(2, "unparsable"), (3, "shifted")]
