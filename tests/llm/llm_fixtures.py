@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -33,3 +35,13 @@ def clashing(df):
     for name in ("_quality", "_language", "_id", "_source", "_at", "_gone", "id", "ids", "n", "half", "sig", "kept", "component_id", "slot", "run", "key", "payload", "shard"):
         df = df.selectExpr("*", f"1 AS `{name}`")
     return df
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return clashing(spark.createDataFrame(odd_rows(), DOC).repartition(3))
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return clashing(spark.createDataFrame([], DOC))

@@ -2,11 +2,13 @@ import hashlib
 import random
 import struct
 
-import fixtures
+import llm_fixtures as fixtures
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import fingerprint as fp
 
 SETTINGS = fp.Settings(run=4)

@@ -1,8 +1,10 @@
 import random
 
-import fixtures
+import llm_fixtures as fixtures
 import numpy as np
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import language
 
 

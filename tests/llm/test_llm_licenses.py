@@ -1,4 +1,6 @@
-import fixtures
+import llm_fixtures as fixtures
+
+from llm_fixtures import none, odd  # noqa: F401
 
 from tablewright.llm import licenses
 from tablewright.llm.license_texts import TEMPLATES

@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
-import fixtures
+import llm_fixtures as fixtures
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import mixing
 
 

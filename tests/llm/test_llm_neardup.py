@@ -1,6 +1,8 @@
 import random
 
-import fixtures
+import llm_fixtures as fixtures
+
+from llm_fixtures import none, odd  # noqa: F401
 
 from tablewright.llm import components, neardup
 

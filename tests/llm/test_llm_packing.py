@@ -2,10 +2,12 @@ import os
 import random
 from collections import defaultdict
 
-import fixtures
+import llm_fixtures as fixtures
 import numpy as np
 import pytest
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import packing
 
 SMALL = packing.Settings(row_tokens=64, pool_tokens=4000)

@@ -1,11 +1,13 @@
 import os
 import struct
 
-import fixtures
+import llm_fixtures as fixtures
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import pieces
 
 ODD_TEXTS = [

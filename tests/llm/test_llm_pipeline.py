@@ -1,15 +1,17 @@
 import os
 
 import duckdb
-import fixtures
+import llm_fixtures as fixtures
 import pytest
 import sentencepiece
-import test_language
-import test_neardup
+import test_llm_language as test_language
+import test_llm_neardup as test_neardup
 import zstandard
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import language, pieces, quality
 
 SF = "/root/testdata/sf0.001"

@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
-import fixtures
+import llm_fixtures as fixtures
 import zstandard
 
+from llm_fixtures import none, odd  # noqa: F401
+
 from tablewright.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

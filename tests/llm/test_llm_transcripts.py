@@ -1,7 +1,7 @@
 import itertools
 import random
 
-import fixtures
+import llm_fixtures as fixtures
 import numpy as np
 
 from tablewright.llm import transcripts as tr
