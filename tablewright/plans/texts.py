@@ -246,21 +246,64 @@ def lsa_project_fixed(t: Tables):
     return rounded(ls.project(weights, t.documents, stored, "doc_id", FIXED_DIMS, "SVD_text"))
 
 
+COMPONENTS = 100
+
+
 @query("lsa_project")
 def lsa_project(t: Tables):
-    return rounded(ls.lsa(t.documents, "doc_id", "text", STOP_WORDS, k=8, oversample=8, n_iter=3))
+    return rounded(ls.lsa(t.documents, "doc_id", "text", STOP_WORDS, k=COMPONENTS, n_iter=2))
+
+
+def _title_points(t: Tables):
+    return ls.lsa(t.part, "p_partkey", "p_name", STOP_WORDS, k=COMPONENTS, prefix="SVD_title")
 
 
 @query("lsa_project_title")
 def lsa_project_title(t: Tables):
-    return rounded(ls.lsa(t.part, "p_partkey", "p_name", STOP_WORDS, k=5, oversample=5, n_iter=4, prefix="SVD_title"))
+    return rounded(_title_points(t))
 
 
-@query("lsa_singular_values")
-def lsa_singular_values(t: Tables):
+# Part names have fewer different values than there are components, so nothing is cut off and products are exact.
+TITLE_TFIDF = TFIDF.replace("documents", "part").replace("doc_id", "p_partkey").replace("coalesce(text,", "coalesce(p_name,")
+
+
+@query("lsa_title_products", f"""WITH {TITLE_TFIDF},
+p AS (SELECT a.p_partkey, sum(a.weight * b.weight) AS s FROM tfidf a JOIN tfidf b ON b.p_partkey = a.p_partkey - 1 AND a.term = b.term GROUP BY ALL),
+l AS (SELECT p_partkey, sum(weight * weight) AS s FROM tfidf GROUP BY ALL)
+SELECT p_partkey, round(coalesce(l.s, 0), 6) AS squared_length, round(coalesce(p.s, 0), 6) AS with_previous
+FROM part LEFT JOIN l USING (p_partkey) LEFT JOIN p USING (p_partkey)""")
+def lsa_title_products(t: Tables):
+    """Each projected title's squared length and product with the title of the part numbered one less."""
+    vector = F.array(*[F.col(f"SVD_title_{i + 1}") for i in range(COMPONENTS)])
+    points = materialize(_title_points(t).select("p_partkey", vector.alias("v")), "points")
+    before = points.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("v").alias("w"))
+
+    def product(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+    paired = points.join(before, "p_partkey", "left")
+    return paired.select(
+        "p_partkey", r(product("v", "v") + 0.0).alias("squared_length"),
+        r(F.coalesce(product("v", "w"), F.lit(0.0)) + 0.0).alias("with_previous"),
+    )
+
+
+def _title_values(t: Tables):
     weights = ls.lsa_weights(t.part, "p_partkey", "p_name", STOP_WORDS)
-    values, _ = ls.fit_svd(weights, "p_partkey", k=5, oversample=5, n_iter=6)
+    values, _ = ls.fit_svd(weights, "p_partkey", k=COMPONENTS)
     rows = [(i + 1, float(v)) for i, v in enumerate(values)]
-    return t.spark.createDataFrame(rows, "component int, singular_value double").select(
-        "component", r("singular_value").alias("singular_value")
-    )
+    return t.spark.createDataFrame(rows, "component int, singular_value double")
+
+
+@query("lsa_singular_values")
+def lsa_singular_values(t: Tables):
+    return _title_values(t).select("component", r("singular_value").alias("singular_value"))
+
+
+@query("lsa_singular_moments", f"""WITH {TITLE_TFIDF},
+gram AS (SELECT a.term AS x, b.term AS y, sum(a.weight * b.weight) AS s FROM tfidf a JOIN tfidf b USING (p_partkey) GROUP BY ALL)
+SELECT round((SELECT sum(weight * weight) FROM tfidf), 4) AS squares, round((SELECT sum(s * s) FROM gram), 2) AS fourth_powers""")
+def lsa_singular_moments(t: Tables):
+    """All singular values, by their sums of squares and of fourth powers."""
+    s = F.col("singular_value")
+    return _title_values(t).agg(r(F.sum(s * s), 4).alias("squares"), r(F.sum(F.pow(s, 4.0)), 2).alias("fourth_powers"))

@@ -140,6 +140,21 @@ def test_svd_matches_numpy(spark, join_mode):
     assert np.allclose((a @ v) @ v.T, a, atol=1e-6)
 
 
+def test_svd_keeps_small_directions(spark):
+    rng = np.random.default_rng(5)
+    u, _ = np.linalg.qr(rng.normal(size=(30, 8)))
+    v, _ = np.linalg.qr(rng.normal(size=(20, 8)))
+    s = np.array([1.0, 0.5, 0.1, 1e-2, 7e-4, 3e-4, 5e-5, 1e-5])
+    a = (u * s) @ v.T
+    cells = [(i, f"t{j}", float(a[i, j])) for i in range(30) for j in range(20)]
+    weights = spark.createDataFrame(cells, "id int, term string, weight double")
+    values, loadings = ls.fit_svd(ls.weight_blocks(weights, "id", block_rows=7), "id", k=8, oversample=4, n_iter=4)
+    assert len(values) == 8 and np.allclose(values, s, rtol=1e-4)
+    got = {r.term: r.loadings for r in loadings.collect()}
+    got = np.array([got[f"t{j}"] for j in range(20)])
+    assert np.allclose(np.abs((got * v).sum(axis=0)), 1.0, atol=1e-4)
+
+
 def test_lsa_projects_every_document(spark, tiny):
     out = ls.lsa(tiny, "id", "text", STOP, k=3, oversample=3, n_iter=4)
     _, want = python_tfidf()
