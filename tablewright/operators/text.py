@@ -106,35 +106,42 @@ def polarity(df: DataFrame, key: str, words: Mapping[str, str], lexicon: DataFra
     return counts.select(key, *[c for s in words for c in shares(s)])
 
 
+#: Between the phrases of one first token; no token holds it.
+PHRASE_END = "\u0001"
+
+
 def entity_words(
     df: DataFrame, key: str, tokens: Mapping[str, str], entities: DataFrame, max_len: int = 3
 ) -> DataFrame:
     """Number of tokens inside phrases of an entity table (column ``phrase``).
 
-    Each token starts up to ``max_len`` phrases; a token covered by several
-    phrases counts once.
+    Only tokens that begin a phrase are looked up; the rest of the phrase is
+    compared in place. A token covered by several phrases counts once. The
+    positions of a row meet in one aggregate, which a task that holds the row
+    whole has already done before the shuffle.
     """
-    def spans(field: str, column: str) -> Column:
-        toks = F.col(column)
-
-        def of_length(n: Column) -> Column:
-            starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda p: F.struct(
-                F.lit(field).alias("field"), p.alias("pos"), n.alias("len"),
-                F.array_join(F.slice(toks, p + 1, n), " ").alias("phrase"),
-            ))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_len)), of_length))
-
-    every = F.concat(*[spans(f, c) for f, c in tokens.items()])
-    phrases = df.select(key, F.explode(every).alias("_s")).select(key, "_s.*")
-    hits = attach(phrases, entities.select("phrase").distinct(), "phrase", how="inner")
-    covered = hits.select(key, "field", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("_at"))
-    counts = covered.distinct().groupBy(key).agg(
-        *[F.count_if(F.col("field") == f).alias(f"_{f}") for f in tokens]
+    words = F.split("phrase", " ")
+    heads = entities.select("phrase").distinct().groupBy(words[0].alias("token")).agg(
+        F.array_join(F.sort_array(F.collect_list("phrase")), PHRASE_END).alias("phrases")
+    )
+
+    def tagged(field: str, column: str) -> Column:
+        return F.transform(column, lambda w, i: F.struct(
+            F.lit(field).alias("field"), i.alias("pos"), w.alias("token"), F.slice(F.col(column), i + 1, max_len).alias("rest"),
+        ))
+
+    every = F.concat(*[tagged(f, c) for f, c in tokens.items()])
+    each = df.select(key, F.explode_outer(every).alias("_s")).select(key, "_s.*")
+    found = attach(each, heads, "token", salt_by=[key])
+    fits = F.filter(
+        F.split("phrases", PHRASE_END), lambda p: F.array_join(F.slice("rest", F.lit(1), F.size(F.split(p, " "))), " ") == p
     )
-    return df.select(key).join(counts, key, "left").select(
-        key, *[F.coalesce(f"_{f}", F.lit(0)).alias(f"CNT_Named_Entity_{f}") for f in tokens]
+    ends = F.array_max(F.transform(fits, lambda p: F.size(F.split(p, " "))))
+    covered = F.sequence(F.col("pos"), F.col("pos") + ends - 1)
+    hits = found.select(key, "field", covered.alias("_at"))
+    counts = hits.groupBy(key).agg(*[F.collect_list(F.when(F.col("field") == f, F.col("_at"))).alias(f"_{f}") for f in tokens])
+    return counts.select(
+        key, *[F.size(F.array_distinct(F.flatten(f"_{f}"))).cast("long").alias(f"CNT_Named_Entity_{f}") for f in tokens]
     )
 
 
@@ -189,19 +196,25 @@ def ranking_score(
     its count tells which terms are frequent enough to be salted. ``names``
     maps a field to the name of its score column.
     """
-    pairs = terms.select(key, "field", "term").distinct()
+    if distinct not in ("score", "term"):
+        raise ValueError(f"unknown distinct: {distinct}")
     scored = attach(
-        pairs, ranking.select("field", "term", "freq_diff", "count"), ["field", "term"], weight="count", salt_by=[key]
+        terms.select(key, "field", "term"), ranking.select("field", "term", "freq_diff", "count"), ["field", "term"],
+        weight="count", salt_by=[key],
     )
-    if distinct == "score":
-        scored = scored.select(key, "field", "freq_diff").distinct()
-    elif distinct != "term":
-        raise ValueError(f"unknown distinct: {distinct}")
-    return scored.groupBy(key).agg(*[
-        F.coalesce(F.sum(F.when(F.col("field") == f, F.col("freq_diff"))), F.lit(0.0)).alias(name)
-        for f, name in names.items()
+    # The different values of a row meet in one aggregate and one shuffle.
+    what = F.struct("freq_diff") if distinct == "score" else F.struct("freq_diff", "term")
+    known = F.col("freq_diff").isNotNull()
+    sets = scored.groupBy(key).agg(*[
+        F.collect_set(F.when(known & (F.col("field") == f), what)).alias(f"_{f}") for f in names
     ])
 
+    def total(values: Column) -> Column:
+        # In order, so that the sum does not depend on how rows arrive.
+        return F.aggregate(F.sort_array(values), F.lit(0.0), lambda acc, x: acc + x["freq_diff"])
+
+    return sets.select(key, *[total(F.col(f"_{f}")).alias(name) for f, name in names.items()])
+
 
 def word_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small fixed table (lexicon, entities, stems) as a DataFrame."""

@@ -23,11 +23,13 @@ def _fitted(t: Tables):
     dated = items.withColumns({
         "activation_weekday": dates.weekday("activation_date"), "days": dates.days_since("activation_date"),
     })
-    listed = g.listing_features(dated, t.periods, items)
-    encoded = g.target_encode(items.where("is_train"), listed, ["region"], "price", on_missing="null")
+    # A share of the training rows alone is held out, and statistics of the target know only the others.
+    train = model.holdout(dated.where("is_train"), "item_id", 0.15, seed=1, name="is_valid")
+    both = materialize(train.unionByName(dated.where("not is_train").withColumn("is_valid", F.lit(False))), "split")
+    listed = g.listing_features(both, t.periods, items)
+    encoded = g.target_encode(both.where("is_train and not is_valid"), listed, ["region"], "price", on_missing="null")
     coded = e.apply_dictionary(encoded, dictionary, CATEGORICAL[:4])
-    split = model.holdout(coded, "item_id", 0.15, seed=1, name="is_valid")
-    matrix = model.design_matrix(split, [*CATEGORICAL, *NUMERIC], CATEGORICAL)
+    matrix = model.design_matrix(coded, [*CATEGORICAL, *NUMERIC], CATEGORICAL)
     stored = materialize(matrix.select("item_id", "price", "is_train", "is_valid", "features"), "matrix")
     fitted = model.fit_gbt(stored.where("is_train"), "price", "is_valid", PARAMS)
     return fitted, stored
