@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.session import materialize
+
 #: Rows of an Arrow batch sent to a Python worker. Texts are long, so the
 #: default of 10,000 rows could be a gigabyte; a batch only sets the memory used.
 BATCH_ROWS = 500
@@ -17,6 +21,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder, read it back, and let go of what it was made of.
+
+    Shuffle files live until the driver collects the plan that wrote them,
+    which by default may take half an hour; a stored table needs none of them.
+    """
+    stored = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return stored
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -39,9 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import small_batches, words_of
+from tablewright.llm.common import small_batches, store, words_of
 from tablewright.llm.components import components
-from tablewright.session import materialize
 
 
 @dataclass(frozen=True)
@@ -233,16 +232,16 @@ def compare_blocks(members: DataFrame, texts: DataFrame, settings: Settings) ->
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """key, n_shingles, component_id and kept (first of its component) for every row."""
     small_batches(docs.sparkSession)
-    sketch = materialize(sketches(docs, key, text, settings), "sketches")
+    sketch = store(sketches(docs, key, text, settings), "sketches")
     full = sketch.where("n > 0 and id is not null")
     members = full.select("id", "set")
     # Classes of equal sets, and of rows that share a key.
     classes = full.groupBy("set").agg(F.min("id").alias("id"), F.min_by(F.struct("half", "sig"), "id").alias("s"))
-    classes = materialize(classes.select("id", "set", "s.*"), "classes")
+    classes = store(classes.select("id", "set", "s.*"), "classes")
 
-    keys = materialize(table_keys(classes, settings), "table-keys")
+    keys = store(table_keys(classes, settings), "table-keys")
     centres = keys.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("hi")).where("c <> hi").select("key", "c")
-    inside = materialize(keys.join(centres, "key").where("id <> c").select("key", "a", "id", "c"), "buckets")
+    inside = store(keys.join(centres, "key").where("id <> c").select("key", "a", "id", "c"), "buckets")
 
     pairs = inside.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     sig = classes.select("id", "sig")
@@ -250,14 +249,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     likely = pairs.join(sig_a, "a").join(sig_b, "b").where(_likely(settings.least_equal)).select("a", "b")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    texts = materialize(source.join(wanted, "id", "left_semi"), "texts")
-    links = materialize(confirm(likely, texts, settings), "star-links")
+    texts = store(source.join(wanted, "id", "left_semi"), "texts")
+    links = store(confirm(likely, texts, settings), "star-links")
 
     label = components(links)
     named = inside.join(label.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("key", "a", "id", "c", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = materialize(inside.join(mixed, "key", "left_semi").select("a", "id").distinct(), "open-buckets")
+    left = store(inside.join(mixed, "key", "left_semi").select("a", "id").distinct(), "open-buckets")
     more = compare_blocks(left, texts.join(sig, "id"), settings)
     links = links.unionByName(more)
 
@@ -279,5 +278,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, with their own columns."""
     found = near_duplicates(docs, key, text, settings)
-    gone = found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    gone = store(found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
