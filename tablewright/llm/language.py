@@ -70,7 +70,7 @@ class Model:
     _rows: np.ndarray | None = None
 
     #: Words whose scores a worker remembers; reached, it starts anew.
-    REMEMBERED = 400_000
+    REMEMBERED = 200_000
 
     def _entries(self, word: str) -> list[int]:
         """Rows whose mean is the score of a word: its own, or those of its longest known n-grams."""
