@@ -12,7 +12,7 @@ from tablewright.operators import joins as j
 from tablewright.operators import model
 from tablewright.operators import ordering as o
 from tablewright.operators import sets as s
-from tablewright.plans.registry import ITEMS, Tables, query, rounded
+from tablewright.plans.registry import ITEMS, Tables, query
 from tablewright.session import fresh_path, materialize
 from tablewright.sources import images as im
 from tablewright.sources import tables as st
