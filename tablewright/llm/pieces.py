@@ -7,10 +7,12 @@ a space), the vocabulary with its scores, as a unigram model or as the merges
 of a BPE model, and bytes for characters without a piece. Batches are encoded
 by the library's own threads.
 
-Parity is verified, not assumed: every text is also encoded by the
+Parity is verified, not assumed: everything is also encoded by the
 sentencepiece library and compared id by id, and ids are decoded again and
 compared with the text. Where the two differ, the ids of sentencepiece are
 returned and ``parity`` is false, so the result always is that of the model.
+If the vocabulary lets words be encoded apart, this is done once for each
+different word of a batch instead of each text.
 
 Defined results: null and empty texts give no ids and decode to ``''``. A long
 text is encoded whole.
@@ -18,12 +20,16 @@ text is encoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from importlib import import_module
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +44,8 @@ from tablewright.llm.common import small_batches
 MARK = "▁"
 SCHEMA = "ids array<int>, n_bytes int, parity boolean, round_trip boolean"
 
+_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
 #: Values of the model file's enumerations.
 UNIGRAM, BPE = 1, 2
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
@@ -145,7 +153,7 @@ class PieceModel:
             steps.append(normalizers.Replace(" ", MARK))
         out.normalizer = normalizers.Sequence(steps)
         if self.mark_spaces and self.marks_only_lead():
-            out.pre_tokenizer = pre_tokenizers.Split(tokenizers.Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+            out.pre_tokenizer = pre_tokenizers.Split(tokenizers.Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
         back: list = [decoders.Replace(MARK, " ")] if self.mark_spaces else []
         back += [decoders.ByteFallback()] if self.byte_fallback else []
         out.decoder = decoders.Sequence([*back, decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
@@ -155,32 +163,130 @@ class PieceModel:
         return np.array([kind == BYTE for _, _, kind in self.pieces])
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Codec:
-    """Encoder, decoder and the library they are held against."""
+    """Encoder, decoder and the library they are held against.
+
+    Where no piece has a marker after another character, the words of a text
+    are encoded independently of each other, by either library. Then a word is
+    encoded, compared and decoded once, and remembered: equal words need no
+    second look, and every word of every text is verified all the same.
+    """
+
+    #: Words that a worker remembers; reached, it starts anew.
+    REMEMBERED = 150_000
+    #: New words that are compared at once.
+    RUN = 500
+    #: Threads of a worker, unless RAYON_NUM_THREADS says otherwise.
+    THREADS = 2
 
     def __init__(self, data: bytes):
         # The library's threads are off in forked processes unless asked for.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(self.THREADS))
         self.model = PieceModel.parse(data)
         self.own = self.model.tokenizer()
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = self.model.is_byte()
+        self.apart = self.model.mark_spaces and self.model.dummy_prefix and self.model.marks_only_lead()
+        self.of_words = self.model.tokenizer()
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.plain = not self.model.char_map and not self.model.trim_spaces
+        self.ids: dict[str, bytes] = {}  # 32-bit ids, one after another
+        self.differ: set[str] = set()
+        self.lossy: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the tokenizers library, of whole texts."""
         return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def normal(self, text: str) -> str:
+        if self.plain:
+            return f" {text}".replace(" ", MARK) if text else ""
+        return self.own.normalizer.normalize_str(text)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words with both libraries, and decode them again.
+
+        Words one after another are a text, so a run of them is encoded and
+        decoded at once and compared as a whole; only a run that differs
+        somewhere is looked at word by word.
+        """
+        single = [w for w in words if not w.strip(MARK)]
+        words = [w for w in words if w.strip(MARK)]
+        # The marker in front of a word is the one that sentencepiece puts there itself.
+        texts = [w[1:].replace(MARK, " ") for w in words]
+        judged = self.judge.encode(texts, num_threads=1)
+        self.ids.update(zip(words, map(_packed, judged), strict=True))
+        runs = [slice(i, i + self.RUN) for i in range(0, len(words), self.RUN)]
+        flat = [list(chain.from_iterable(judged[r])) for r in runs]
+        ids = [e.ids for e in self.of_words.encode_batch_fast(["".join(words[r]) for r in runs], add_special_tokens=False)]
+        back = self.own.decode_batch(flat, skip_special_tokens=False)
+        for r, a, b, text in zip(runs, ids, flat, back, strict=True):
+            if a != b or text != " ".join(texts[r]):
+                self._compare(words[r])
+        if single:
+            # A lone marker, as at the end of a text, which sentencepiece would not put before nothing.
+            judged = self.judge.encode([w[1:].replace(MARK, " ") for w in single], num_threads=1)
+            self.ids.update({w: _packed(j if w != MARK else [self.judge.piece_to_id(MARK)]) for w, j in zip(single, judged, strict=True)})
+            self._compare(single)
+
+    def _compare(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.of_words.encode_batch_fast(words, add_special_tokens=False)]
+        judged = [np.frombuffer(self.ids[w], dtype=np.int32).tolist() for w in words]
+        back = self.own.decode_batch(judged, skip_special_tokens=False)
+        for w, a, b, text in zip(words, ids, judged, back, strict=True):
+            if a != b:
+                self.differ.add(w)
+            if text != w[1:].replace(MARK, " "):
+                self.lossy.add(w)
+
     def rows(self, texts: list[str | None]) -> list[tuple]:
+        """ids, byte ids, parity and round trip of each text; the ids are the model's where the two differ."""
         plain = ["" if t is None else t for t in texts]
-        ids = self.encode(plain)
-        judged = self.judge.encode(plain, num_threads=1)
-        parity = [a == b for a, b in zip(ids, judged, strict=True)]
-        # The judge's ids are those of the model where the two differ.
-        decoded = self.own.decode_batch(judged, skip_special_tokens=False)
+        # Spaces are trimmed before they become markers, so a marker in the text itself cannot be taken for one.
+        whole = [not self.apart or (self.model.trim_spaces and MARK in t) for t in plain]
+        by_words = iter(self._by_words([t for t, w in zip(plain, whole, strict=True) if not w]))
+        at_once = iter(self._whole([t for t, w in zip(plain, whole, strict=True) if w]))
+        return [next(at_once if w else by_words) for w in whole]
+
+    def _by_words(self, texts: list[str]) -> list[tuple]:
+        normal = [self.normal(t) for t in texts]
+        words = [_WORDS.findall(n) for n in normal]
+        new = list(set().union(*words).difference(self.ids))
+        if len(self.ids) + len(new) > self.REMEMBERED:
+            for kept in (self.ids, self.differ, self.lossy):
+                kept.clear()
+            new = list(set().union(*words))
+        self.learn(new)
+        out = []
+        for t, n, w in zip(texts, normal, words, strict=True):
+            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, w)), dtype=np.int32)
+            parity = not self.differ or self.differ.isdisjoint(w)
+            same = n[1:].replace(MARK, " ") == t and (not self.lossy or self.lossy.isdisjoint(w))
+            out.append((ids, int(self.is_byte[ids].sum()), parity, same))
+        return out
+
+    def _whole(self, texts: list[str]) -> list[tuple]:
+        ids, judged = self.encode(texts), self.judge.encode(texts, num_threads=1)
+        back = self.own.decode_batch(judged, skip_special_tokens=False)
         arrays = [np.array(x, dtype=np.int32) for x in judged]
-        return [
-            (x, int(self.is_byte[x].sum()), p, d == t)
-            for t, x, p, d in zip(plain, arrays, parity, decoded, strict=True)
-        ]
+        return [(x, int(self.is_byte[x].sum()), a == b, d == t) for t, x, a, b, d in zip(texts, arrays, ids, judged, back, strict=True)]
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(data: bytes) -> Codec:
+    """The codec of this worker for a model, which outlives a task."""
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _codecs:
+        _codecs.clear()
+        _codecs[name] = Codec(data)
+    return _codecs[name]
 
 
 def encoded(docs: DataFrame, text: str = "text", model_path: str | None = None) -> Column:
@@ -190,7 +296,7 @@ def encoded(docs: DataFrame, text: str = "text", model_path: str | None = None)
 
     @F.pandas_udf(SCHEMA)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for texts in batches:
             yield pd.DataFrame(codec.rows(list(texts)), columns=["ids", "n_bytes", "parity", "round_trip"])
 
@@ -204,7 +310,7 @@ def decoded(df: DataFrame, ids: str = "ids", model_path: str | None = None) -> C
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for rows in batches:
             yield pd.Series(codec.own.decode_batch([[] if x is None else list(x) for x in rows], skip_special_tokens=False))
 

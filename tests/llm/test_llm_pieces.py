@@ -1,4 +1,5 @@
 import os
+import random
 import struct
 
 import llm_fixtures as fixtures
@@ -74,6 +75,32 @@ def test_unigram_parity(trim, fallback):
     assert codec.encode(texts) == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
 
 
+def test_words_apart_equal_whole_texts(codec):
+    rng = random.Random(3)
+    alphabet = ["a", "b", "the", " ", " ", "  ", "\n", "▁", "é", "日", "😀", ".", "\t", "ing", "Un"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    assert codec.apart
+    by_words, whole = codec.rows(texts), codec._whole(texts)
+    assert [r[0].tolist() for r in by_words] == [r[0].tolist() for r in whole]
+    assert [r[1:] for r in by_words] == [r[1:] for r in whole]
+    codec.ids.clear()
+    codec.REMEMBERED = 100
+    again = [r for i in range(0, 1500, 50) for r in codec.rows(texts[i:i + 50])]
+    assert [r[0].tolist() for r in again] == [r[0].tolist() for r in whole]
+
+
+@pytest.mark.parametrize("trim", [True, False])
+def test_unigram_words_apart(trim):
+    codec = pieces.Codec(unigram_model(trim))
+    # One piece is two markers, so words still stand apart.
+    texts = ["the cat sat", "  the   cat ", "on  the", "", " ", "zebra ▁ the"]
+    assert codec.apart and [r[:2] for r in _lists(codec.rows(texts))] == [r[:2] for r in _lists(codec._whole(texts))]
+
+
+def _lists(rows):
+    return [(r[0].tolist(), *r[1:]) for r in rows]
+
+
 def test_other_model_types_are_refused():
     data = unigram_model() + message((2, message((3, 3))))
     with pytest.raises(ValueError, match="not a unigram or BPE"):
