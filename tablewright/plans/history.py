@@ -66,14 +66,17 @@ def rmse(t: Tables):
     return rounded(model.rmse(pairs), 4)
 
 
-@query("baseline_rmse", f"""WITH {ITEMS},
+BASELINE_RMSE = f"""WITH {ITEMS},
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5('11:' || CAST(item_id AS VARCHAR)), item_id) AS rn,
                   count(*) OVER () AS n FROM items),
 s AS (SELECT *, rn <= ceil(CAST(0.15 AS DOUBLE) * n) AS is_test FROM ranked),
 e AS (SELECT user_id, avg(price) AS m FROM s WHERE NOT is_test GROUP BY user_id),
 o AS (SELECT avg(price) AS am FROM s WHERE NOT is_test)
 SELECT round(sqrt(avg((coalesce(m, am) - price) ** 2)), 4) AS rmse, count(*) AS n
-FROM s LEFT JOIN e USING (user_id), o WHERE is_test""")
+FROM s LEFT JOIN e USING (user_id), o WHERE is_test"""
+
+
+@query("baseline_rmse", BASELINE_RMSE)
 def baseline_rmse(t: Tables):
     items = t.orders.select(
         F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("price")

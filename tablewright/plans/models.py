@@ -8,8 +8,9 @@ from tablewright.functions import dates
 from tablewright.operators import encoding as e
 from tablewright.operators import groups as g
 from tablewright.operators import model
+from tablewright.plans.history import BASELINE_RMSE, baseline_rmse
 from tablewright.plans.registry import Tables, query, rounded
-from tablewright.session import materialize
+from tablewright.session import fresh_path, materialize
 
 CATEGORICAL = ("region", "city", "category_name", "parent_category_name", "activation_weekday")
 NUMERIC = ("days", "ave_days_up_user", "avg_times_up_user", "n_user_items", "region_dp_mean", "region_dp_std")
@@ -53,3 +54,13 @@ def gbt_rmse(t: Tables):
 def feature_importance(t: Tables):
     fitted, _ = _fitted(t)
     return rounded(model.importances(t.spark, fitted, [*CATEGORICAL, *NUMERIC]))
+
+
+@query("model_record", f"""SELECT 'parameter' AS kind, name, CAST(value AS DOUBLE) AS value
+FROM (VALUES {', '.join(f"('{n}', {v})" for n, v in PARAMS.items())}) p(name, value)
+UNION ALL SELECT 'score', 'baseline_rmse', rmse FROM ({BASELINE_RMSE})""")
+def model_record(t: Tables):
+    """Parameters, and the score of the baseline that a model has to beat, stored and read back."""
+    score = baseline_rmse(t).first()["rmse"]
+    path = model.write_record(t.spark, fresh_path(t.spark, "record"), PARAMS, {"baseline_rmse": score})
+    return model.read_record(t.spark, path)
