@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.session import materialize
+from tablewright.session import materialize, ship_package
 
 #: Rows of an Arrow batch sent to a Python worker. Texts are long, so the
 #: default of 10,000 rows could be a gigabyte; a batch only sets the memory used.
@@ -14,7 +14,8 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of Python workers; a smaller setting is left alone."""
+    """Bound the memory of Python workers, a smaller setting is left alone, and give them this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
