@@ -1,5 +1,10 @@
 """Licence scans by conditional compression.
 
+Every place where a text shares so many words in a row with a template that a
+confirmed wording may stand there is looked at first, whatever surrounds it
+and however its lines are wrapped: few differences leave a long enough run of
+equal words, so no such wording is missed. What is left is searched by blocks.
+
 A candidate block is a run of sentences with licence vocabulary. It is
 compressed alone, and once with each template as a raw zstandard dictionary;
 what a template saves says how much of the block it explains. Templates are
@@ -98,6 +103,14 @@ class Scanner:
             for name, t in templates.items()
         }
         self.place = {name: i for i, name in enumerate(sorted(templates, key=lambda n: (-len(templates[n]), n)))}
+        # A wording with at most d differences falls into at most d + 1 runs of equal words.
+        self.allowed = {name: int(settings.most_different * len(w)) for name, w in self.words.items()}
+        self.run = {name: max(1, -(-(len(w) - self.allowed[name]) // (self.allowed[name] + 1))) for name, w in self.words.items() if w}
+        self.gram = min(self.run.values(), default=1)
+        self.seeds: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for name, run in self.run.items():
+            for i in range(len(self.words[name]) - run + 1):
+                self.seeds.setdefault(tuple(self.words[name][i:i + self.gram]), []).append((name, i))
 
     def ranked(self, block: str) -> tuple[int, list[tuple[str, int]]]:
         """Size alone, and (template, size with it), the greatest saving first."""
@@ -142,6 +155,49 @@ class Scanner:
         row = name, good, alone, size, (alone - size) / alone, [x for x, _ in best], n, missing, extra, shown
         return span if good else (0, len(block)), row
 
+    def places(self, text: str) -> list[tuple[str, int, int]]:
+        """Template, start and end of every stretch that shares a run of words with it, long enough for a confirmed wording."""
+        words = _WORD.findall(text.lower())
+        begins: dict[str, set[int]] = {}
+        for p, gram in enumerate(zip(*(words[i:] for i in range(self.gram)), strict=False)):
+            for name, i in self.seeds.get(gram, ()):
+                run = self.run[name]
+                if words[p:p + run] == self.words[name][i:i + run]:
+                    begins.setdefault(name, set()).add(p - i)
+        if not begins:
+            return []
+        at = [m.span() for m in _WORD.finditer(text)]
+        found = []
+        for name, starts in begins.items():
+            n, slack = len(self.words[name]), self.allowed[name]
+            group: list[int] = []
+            for s in [*sorted(starts), None]:
+                # Differences shift the begin by no more than their number.
+                if group and (s is None or s - group[0] > slack):
+                    a, b = max(0, group[0] - slack), min(len(at), group[-1] + n + slack)
+                    found.append((name, at[a][0], at[b - 1][1]))
+                    group = []
+                group.append(s)
+        return found
+
+    def wordings(self, text: str) -> list[tuple[int, int, tuple]]:
+        """Start, end and fields of the confirmed wordings at :meth:`places`, the fewest differences first where they overlap."""
+        likely = []
+        for name, a, b in self.places(text):
+            missing, extra, shown, (start, end) = self.differences(name, text[a:b])
+            n = len(self.words[name])
+            if missing + extra <= self.settings.most_different * n:
+                likely.append(((missing + extra) / n, self.place[name], a + start, a + end, (n, missing, extra, shown), name))
+        taken: list[tuple[int, int, tuple]] = []
+        for _, _, start, end, told, name in sorted(likely):
+            if any(start < y and x < end for x, y, _ in taken):
+                continue
+            alone, sizes = self.ranked(text[start:end])
+            best = [n for n, size in sizes if alone - size >= self.settings.least_reduction * alone][:self.settings.compared]
+            size = dict(sizes)[name]
+            taken.append((start, end, (name, True, alone, size, (alone - size) / alone, best if name in best else [name, *best], *told)))
+        return taken
+
     def scan(self, text: str | None) -> list[tuple]:
         """A row for every wording.
 
@@ -150,7 +206,14 @@ class Scanner:
         """
         if not text or not _CUE.search(text):
             return []
-        rows, open_blocks = [], blocks(text, self.settings.gap)
+        rows, open_blocks = [], []
+        end = 0
+        for a, b, row in [*sorted(self.wordings(text), key=lambda w: w[0]), (len(text), len(text), None)]:
+            if _CUE.search(text[end:a]):
+                open_blocks += [(end + x, end + y) for x, y in blocks(text[end:a], self.settings.gap)]
+            if row:
+                rows.append((a, b, *row))
+            end = b
         while open_blocks:
             a, b = open_blocks.pop()
             (start, end), row = self.judge(text[a:b])

@@ -1,3 +1,5 @@
+import textwrap
+
 import llm_fixtures as fixtures
 
 from llm_fixtures import none, odd  # noqa: F401
@@ -50,3 +52,21 @@ def test_table(spark, odd, none):
     got = licenses.scan_licenses(df).collect()
     assert sorted((r.doc_id or 0, r.license) for r in got if r.confirmed) == [(0, "all-rights-reserved"), (1, "MIT-notice"), (1, "MIT-notice")]
     assert max(r.start for r in got) == len(long) + 1
+
+
+def test_wrapped_wordings_are_confirmed_whatever_surrounds_them():
+    s = scanner()
+    prose = "The weather was fine and nobody spoke of rules.\n" * 40
+    for name, text in TEMPLATES.items():
+        for width in (40, 60, 78):
+            for mark in ("", "# ", " * ", "// "):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+                for around in ("{}", prose + "{}\n" + prose, "no stop before {} nor a stop after " + "it goes on " * 300):
+                    found = [r for r in s.scan(around.format(wrapped)) if r[3]]
+                    assert [(r[2], r[9], r[10]) for r in found] == [(name, 0, 0)], (name, width, mark, found)
+
+
+def test_wrapped_wordings_with_small_changes_are_confirmed():
+    text = TEMPLATES["ISC"].replace("ISC", "").replace("distribute", "hand out").replace("THE AUTHOR DISCLAIMS", "THE WRITER DISCLAIMS")
+    found = [r for r in scanner().scan("\n".join(textwrap.wrap(text, 60))) if r[3]]
+    assert [(r[2], r[9], r[10]) for r in found] == [("ISC", 2, 3)]
