@@ -12,11 +12,15 @@ each; its likeness to another is the share of distinct anchors they have in
 common (Jaccard). ``anchors`` also gives their word positions and
 ``positional_matches`` the places where two sets of texts agree.
 
+A text of ``k`` words or some more may hold no syncmer; its fingerprint is
+empty. Two such texts are as alike as their runs of ``s`` words, of which
+``positional_matches`` also gives the places.
+
 Everything is a DataFrame expression: no Python runs in tasks.
 
 Defined results: null is the empty text. A text with words, but fewer than
 ``k``, has one anchor made of all its words; one without words has none. Two
-fingerprints without anchors are alike (1), one with and one without are not
+texts without words are alike (1), one with and one without anchors are not
 (0). Rows that share a key keep a row each; as somebody's next text the smallest of their
 texts counts. Rows with a null key have no next text, which counts as empty.
 """
@@ -78,6 +82,25 @@ def anchors(text: Column, settings: Settings = Settings()) -> Column:
     return let(word_hashes(text), lambda h: F.when(F.size(h) >= k, let(inner(h), found)).when(F.size(h) > 0, whole(h)).otherwise(none))
 
 
+def runs(text: Column, settings: Settings = Settings()) -> Column:
+    """Array of (pos, code): position and hash of every run of ``s`` words, of all words if there are fewer."""
+    s = settings.s
+
+    def each(h: Column) -> Column:
+        # Marked, so that no run has the code of a k-mer or of a whole text.
+        code = lambda i: F.xxhash64(F.lit("run"), *[h[i + d] for d in range(s)])
+        return F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.struct(i.alias("pos"), code(i).alias("code")))
+
+    whole = lambda h: F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.lit("run"), h).alias("code")))
+    none = F.array().cast("array<struct<pos:int,code:bigint>>")
+    return let(word_hashes(text), lambda h: F.when(F.size(h) >= s, each(h)).when(F.size(h) > 0, whole(h)).otherwise(none))
+
+
+def all_anchors(text: Column, settings: Settings = Settings()) -> Column:
+    """The syncmers of a text, or its runs of words where it has none."""
+    return let(anchors(text, settings), lambda a: F.when(F.size(a) > 0, a).otherwise(runs(text, settings)))
+
+
 def codes(text: Column, settings: Settings = Settings()) -> Column:
     return F.transform(anchors(text, settings), lambda a: a["code"])
 
@@ -97,11 +120,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(both)
 
 
+def text_likeness(a: Column, a_text: Column, b: Column, b_text: Column, settings: Settings = Settings()) -> Column:
+    """Likeness of two texts by their codes, or by their runs of words if neither has an anchor."""
+    short = [F.transform(runs(t, settings), lambda x: x["code"]) for t in (a_text, b_text)]
+    return F.when((F.size(a) > 0) | (F.size(b) > 0), likeness(a, b)).otherwise(likeness(*short))
+
+
 def positional_matches(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Where texts agree: left_key, right_key, left_pos, right_pos, code of every common anchor."""
 
     def exploded(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(F.col(key).alias(f"{side}_key"), F.explode(anchors(F.col(text), settings)).alias("a"))
+        rows = df.select(F.col(key).alias(f"{side}_key"), F.explode(all_anchors(F.col(text), settings)).alias("a"))
         return rows.select(f"{side}_key", F.col("a")["pos"].alias(f"{side}_pos"), F.col("a")["code"].alias("code"))
 
     return exploded(left, "left").join(exploded(right, "right"), "code")
@@ -142,14 +171,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", setti
     """Fingerprint of every row, and how like it are its edited text and the next document."""
     rows = with_next(docs, key, text, settings)
     rows = rows.withColumn("edit", edited(F.col("text"), F.col("next")["text"]))
+    rows = rows.withColumn("edit_codes", codes(F.col("edit"), settings))
+    own, edit, following = (F.col("codes"), F.col("text")), (F.col("edit_codes"), F.col("edit")), (F.col("next")["codes"], F.col("next")["text"])
     rows = rows.select(
         "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        "codes", codes(F.col("edit"), settings).alias("edit_codes"), F.col("next")["codes"].alias("next_codes"),
+        "codes", "edit_codes",
+        text_likeness(*own, *edit, settings).alias("near_edited"), text_likeness(*own, *following, settings).alias("near_next"),
     )
     return rows.select(
         F.col("id").alias(key), "n_chars", "edited_sha256", as_text(F.col("codes")).alias("fingerprint"),
-        as_text(F.col("edit_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edit_codes")).alias("near_edited"),
-        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
-        F.size("codes").alias("n_anchors"),
+        as_text(F.col("edit_codes")).alias("edited_fingerprint"), "near_edited", "near_next", F.size("codes").alias("n_anchors"),
     )

@@ -116,3 +116,23 @@ def test_one_document_follows_itself(spark):
     df = spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")
     r = fp.fingerprints(df).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest()
+
+
+@pytest.mark.parametrize("n", range(10, 21, 2))
+def test_different_short_texts_are_not_alike(spark, n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(rng.sample(words, n))) for i in range(40)]
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 40
+    assert all(r.near_next < 0.2 and r.near_edited < 1 for r in got.values())
+
+
+def test_short_texts_without_syncmers_are_compared_by_runs(spark):
+    plain = [t for i in range(200) if not brute(t := " ".join(f"w{i}x{j}" for j in range(10)))]
+    near = next(t for t in (plain[0].rsplit(" ", 1)[0] + f" v{i}" for i in range(100)) if not brute(t))
+    df = spark.createDataFrame([(1, None), (2, plain[1]), (3, near), (4, plain[0].upper()), (5, plain[0])], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fp.fingerprints(df).collect()}
+    # Nine runs of two words each, of which eight are common to the near ones.
+    assert got == {5: 1.0, 4: 0.8, 3: 0.0, 2: 0.0, 1: 0.0}
+    assert fp.positional_matches(df.where("doc_id = 4"), df.where("doc_id = 5")).count() == 9
