@@ -11,8 +11,12 @@ form.
 
 Transcripts are made from a table of turns here, in one of several styles by a
 hash of the conversation, so the truth is known. A conversation is cut every
-``part_turns`` turn numbers: what a task holds of it is bounded. Rows that
-share conversation and turn number are one turn, the smallest by role and text.
+``part_turns`` turn numbers: what a task holds of it is bounded. Different rows
+that share conversation and turn number are alternatives, of which a transcript
+has one: ordered by role and text, the first goes to branch 0, the second to
+branch 1 and so on, and every branch is a transcript of its own. Rows equal in
+conversation, turn number, role and text are one turn. Nobody knows which rows
+without a conversation belong together: each is a transcript, with a null branch.
 
 Defined results: null and empty transcripts have no turns. A null role is the
 role ``user``, a null text the empty text. Markers never seen in training count as one
@@ -33,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import small_batches
+from tablewright.operators.joins import attach
+from tablewright.operators.ordering import global_index
 
 ROLES = ("system", "user", "assistant")
 #: Names of the roles in each style, and how a line of a turn begins; ``{}`` is the name.
@@ -131,17 +137,28 @@ class Model:
 
 
 def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """conv, part, turns (role, text in order) and style of every part of a conversation."""
+    """conv, branch, part, turns (role, text in order) and style of every part of a conversation."""
     rows = turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    one = rows.groupBy("conv", "turn").agg(F.min(F.struct("role", "text")).alias("t"))
     part = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / settings.part_turns)
-    # At most part_turns rows of a part are left.
-    parts = one.groupBy("conv", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "t.role", "t.text"))).alias("turns"))
+    one = F.struct("turn", "role", "text")
+    # Joined by its text, so that rows without a turn number meet too.
+    named = rows.where("conv is not null").withColumn("at", F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    repeated = named.groupBy("conv", "at").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("again")).where("n > 1")
+    marked = attach(named, repeated, ["conv", "at"], weight="n")
+    single = marked.where("again is null").select("conv", "turn", "role", "text", F.lit(0).cast("long").alias("branch"))
+    several = marked.where("again").select("conv", "at", "turn", "role", "text").distinct()
+    several = global_index(several, ["conv", "turn", "role", "text"], "place")
+    first = several.groupBy("conv", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    branches = attach(several, first, ["conv", "at"], weight="n").select("conv", "turn", "role", "text", (F.col("place") - F.col("first")).alias("branch"))
+    # At most part_turns rows of a part are in a branch.
+    grouped = single.unionByName(branches).groupBy("conv", "branch", part.alias("part")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    alone = rows.where("conv is null").select("conv", F.lit(None).cast("long").alias("branch"), part.alias("part"), F.array(one).alias("turns"))
+    parts = grouped.unionByName(alone)
     style = F.pmod(F.xxhash64("conv"), F.lit(len(STYLES))).cast("int")
-    return parts.select("conv", "part", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"), style.alias("style"))
+    return parts.select("conv", "branch", "part", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"), style.alias("style"))
 
 
 def _lines(turns: Sequence[dict], style: int) -> list[tuple[str, int]]:
@@ -224,7 +241,7 @@ def parsed(df: DataFrame, model: Model, text: str = "transcript") -> Column:
 
 
 def recover(turns: DataFrame, conv: str = "conv_id", settings: Settings = Settings()) -> DataFrame:
-    """Transcripts of all conversations, parsed: conv, part, held_out, style, n_turns, roles, texts, rendered and whether roles and texts are right."""
+    """Transcripts of all conversations, parsed: conv, branch, part, held_out, style, n_turns, roles, texts, rendered and whether roles and texts are right."""
     small_batches(turns.sparkSession)
     parts = conversations(turns, conv, settings=settings)
     model = train(parts.where(~is_held_out(F.col("conv"))), settings)
@@ -232,6 +249,6 @@ def recover(turns: DataFrame, conv: str = "conv_id", settings: Settings = Settin
     found = parts.withColumn("p", parsed(parts, model))
     true_roles, true_texts = F.col("turns.role"), F.col("turns.text")
     return found.select(
-        F.col("conv").alias(conv), "part", is_held_out(F.col("conv")).alias("held_out"), "style", F.size("turns").alias("n_turns"),
+        F.col("conv").alias(conv), "branch", "part", is_held_out(F.col("conv")).alias("held_out"), "style", F.size("turns").alias("n_turns"),
         "p.*", (F.col("p.roles") == true_roles).alias("roles_right"), (F.col("p.texts") == true_texts).alias("texts_right"),
     )

@@ -60,3 +60,14 @@ def test_long_conversations_are_cut_and_odd_rows_have_results(spark):
     assert tr.recover(spark.createDataFrame([], TURNS)).count() == 0
     model = tr.train(tr.conversations(spark.createDataFrame([], TURNS)))
     assert model.parse(None) == ([], []) and model.parse("") == ([], []) and model.parse("a\nb")[0]
+
+
+def test_rows_with_the_same_turn_or_without_keys_are_kept(spark, join_mode):
+    rows = [(3, 0, "user", x) for x in "abca"] + [(3, 1, "assistant", "d"), (5, None, "user", "e"), (5, None, "user", "f"), (5, 0, "user", "g")]
+    rows += [(None, 0, "user", "h"), (None, 0, "user", "h"), (None, 0, "user", "i"), (None, None, "assistant", "j")]
+    got = tr.conversations(spark.createDataFrame(rows, TURNS).repartition(3)).collect()
+    found = sorted((r.conv or 0, -1 if r.branch is None else r.branch, r.part, [t.text for t in r.turns]) for r in got)
+    assert found == [
+        (0, -1, -1, ["j"]), (0, -1, 0, ["h"]), (0, -1, 0, ["h"]), (0, -1, 0, ["i"]),
+        (3, 0, 0, ["a", "d"]), (3, 1, 0, ["b"]), (3, 2, 0, ["c"]), (5, 0, -1, ["e"]), (5, 0, 0, ["g"]), (5, 1, -1, ["f"]),
+    ]
