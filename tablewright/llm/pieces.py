@@ -209,38 +209,42 @@ class Codec:
         return self.own.normalizer.normalize_str(text)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words with both libraries, and decode them again.
+        """Encode new words with both libraries, compare them word by word, and decode them again.
 
-        Words one after another are a text, so a run of them is encoded and
-        decoded at once and compared as a whole; only a run that differs
-        somewhere is looked at word by word.
+        Words one after another are a text, so a run of them is decoded at
+        once; only a run that differs somewhere is decoded word by word.
         """
         single = [w for w in words if not w.strip(MARK)]
         words = [w for w in words if w.strip(MARK)]
         # The marker in front of a word is the one that sentencepiece puts there itself.
         texts = [w[1:].replace(MARK, " ") for w in words]
         judged = self.judge.encode(texts, num_threads=1)
-        self.ids.update(zip(words, map(_packed, judged), strict=True))
-        runs = [slice(i, i + self.RUN) for i in range(0, len(words), self.RUN)]
-        flat = [list(chain.from_iterable(judged[r])) for r in runs]
-        ids = [e.ids for e in self.of_words.encode_batch_fast(["".join(words[r]) for r in runs], add_special_tokens=False)]
-        back = self.own.decode_batch(flat, skip_special_tokens=False)
-        for r, a, b, text in zip(runs, ids, flat, back, strict=True):
-            if a != b or text != " ".join(texts[r]):
-                self._compare(words[r])
+        for i in range(0, len(words), self.RUN):
+            r = slice(i, i + self.RUN)
+            kept = self._keep(words[r], judged[r])
+            back = self.own.decode(list(chain.from_iterable(kept)), skip_special_tokens=False)
+            if back != " ".join(texts[r]):
+                self._look_back(words[r], kept)
         if single:
             # A lone marker, as at the end of a text, which sentencepiece would not put before nothing.
             judged = self.judge.encode([w[1:].replace(MARK, " ") for w in single], num_threads=1)
-            self.ids.update({w: _packed(j if w != MARK else [self.judge.piece_to_id(MARK)]) for w, j in zip(single, judged, strict=True)})
-            self._compare(single)
-
-    def _compare(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.of_words.encode_batch_fast(words, add_special_tokens=False)]
-        judged = [np.frombuffer(self.ids[w], dtype=np.int32).tolist() for w in words]
-        back = self.own.decode_batch(judged, skip_special_tokens=False)
-        for w, a, b, text in zip(words, ids, judged, back, strict=True):
+            kept = self._keep(single, [j if w != MARK else [self.judge.piece_to_id(MARK)] for w, j in zip(single, judged, strict=True)])
+            self._look_back(single, kept)
+
+    def _keep(self, words: list[str], judged: list[list[int]]) -> list[list[int]]:
+        """Remember the ids of the tokenizers library, or those of sentencepiece for words where the two differ."""
+        kept = []
+        for w, e, b in zip(words, self.of_words.encode_batch_fast(words, add_special_tokens=False), judged, strict=True):
+            a = e.ids
             if a != b:
                 self.differ.add(w)
+                a = b
+            self.ids[w] = _packed(a)
+            kept.append(a)
+        return kept
+
+    def _look_back(self, words: list[str], ids: list[list[int]]) -> None:
+        for w, text in zip(words, self.own.decode_batch(ids, skip_special_tokens=False), strict=True):
             if text != w[1:].replace(MARK, " "):
                 self.lossy.add(w)
 
@@ -272,9 +276,11 @@ class Codec:
 
     def _whole(self, texts: list[str]) -> list[tuple]:
         ids, judged = self.encode(texts), self.judge.encode(texts, num_threads=1)
-        back = self.own.decode_batch(judged, skip_special_tokens=False)
-        arrays = [np.array(x, dtype=np.int32) for x in judged]
-        return [(x, int(self.is_byte[x].sum()), a == b, d == t) for t, x, a, b, d in zip(texts, arrays, ids, judged, back, strict=True)]
+        parity = [a == b for a, b in zip(ids, judged, strict=True)]
+        kept = [a if same else b for a, b, same in zip(ids, judged, parity, strict=True)]
+        back = self.own.decode_batch(kept, skip_special_tokens=False)
+        arrays = [np.array(x, dtype=np.int32) for x in kept]
+        return [(x, int(self.is_byte[x].sum()), p, d == t) for t, x, p, d in zip(texts, arrays, parity, back, strict=True)]
 
 
 _codecs: dict[str, Codec] = {}

@@ -129,3 +129,29 @@ def test_model_path_is_a_parameter(spark, tmp_path):
     got = {r.doc_id: r.ids for r in pieces.tokenise(df, model_path=path).collect()}
     assert got == {1: sentencepiece.SentencePieceProcessor(model_file=path).encode("the cat"), 2: []}
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_ids_are_those_of_the_tokenizers_library(monkeypatch):
+    class Judged(list):
+        pass
+
+    class Judge:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, texts, num_threads=1):
+            return [Judged(x) for x in self.inner.encode(texts, num_threads=num_threads)]
+
+        def piece_to_id(self, piece):
+            return self.inner.piece_to_id(piece)
+
+    packed, seen, codec = pieces._packed, [], pieces.Codec(unigram_model())
+    codec.judge = Judge(codec.judge)
+    monkeypatch.setattr(pieces, "_packed", lambda ids: seen.append(type(ids)) or packed(ids))
+    assert all(r[2] for r in codec.rows(["the cat sat", "on the cat"])) and seen and Judged not in seen
+    # An encoder that is wrong everywhere is repaired, and parity tells.
+    codec.ids.clear()
+    codec.of_words = pieces.tokenizers.Tokenizer(pieces.models.BPE({"<unk>": 0}, [], unk_token="<unk>"))
+    want = codec.judge.inner.encode("the cat sat")
+    ids, _, parity, _ = codec.rows(["the cat sat"])[0]
+    assert ids.tolist() == want and not parity
