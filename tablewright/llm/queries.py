@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, licenses, mixing, neardup, packing, pieces, quality, transcripts, warc
+from tablewright.llm import centroids, fingerprint, language, licenses, mixing, neardup, packing, pieces, quality, transcripts, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("compared")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_pack_ids": op2_pack_ids,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op13_centroids": op13_centroids,
 }
 
 OP6_SQL = r"""
@@ -118,4 +123,33 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
 FROM r"""
 
-SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL}
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Rounds of exact nearest centroids and floors of means, one after another."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT vec_id, k.v, c, list_sum(list_transform(list_zip(k.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{i})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (
+  SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, {dim + 1}) t(i) GROUP BY c, i),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY c
+  UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM a{i}))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM k ORDER BY sha256('3:' || vec_id) LIMIT {k}),{','.join(steps)}
+SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
+
+
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL, "op13_centroids": _op13_sql()}
