@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import centroids, fingerprint, language, licenses, mixing, neardup, packing, pieces, quality, transcripts, warc
+from tablewright.llm import centroids, fingerprint, language, licenses, mixing, neardup, negatives, packing, pieces, quality, transcripts, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = negatives.taking_part(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label", 256, relabel)
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("compared")
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_centroids": op13_centroids,
 }
 
@@ -124,6 +132,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r"""
 
 
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.id AS anchor, e.id, a.label = e.label AS same, CAST(list_sum(list_transform(list_zip(a.v, e.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e a JOIN e ON a.id % 100 = 0 AND e.id <> a.id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS r
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10"""
+
 
 def _op13_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """Rounds of exact nearest centroids and floors of means, one after another."""
@@ -152,4 +176,4 @@ SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(
 FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
 
 
-SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL, "op13_centroids": _op13_sql()}
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroids": _op13_sql()}
