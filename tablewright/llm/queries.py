@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import centroids, fingerprint, language, licenses, mixing, neardup, negatives, packing, pieces, quality, transcripts, warc
+from tablewright.llm import centroids, fingerprint, jaccard, language, licenses, mixing, neardup, negatives, packing, pieces, quality, transcripts, warc
 from tablewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("compared")
 
@@ -76,16 +80,17 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_centroids": op13_centroids,
 }
 
-OP6_SQL = r"""
+_LINKED_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM d),
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS sh FROM d),
 x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS sh FROM s),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id
@@ -93,9 +98,10 @@ pairs AS (
 edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
 label AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
-SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id,
-       coalesce(label, doc_id) = doc_id AS kept
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id{more}
 FROM s LEFT JOIN label ON node = doc_id"""
+OP6_SQL = _LINKED_SQL.format(k=4, more=", coalesce(label, doc_id) = doc_id AS kept")
+OP12_SQL = _LINKED_SQL.format(k=5, more="")
 
 OP7_SQL = """
 WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
@@ -176,4 +182,4 @@ SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(
 FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
 
 
-SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroids": _op13_sql()}
+SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_warc": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_centroids": _op13_sql()}
