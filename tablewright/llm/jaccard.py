@@ -24,8 +24,8 @@ distance of the limit (0.2) the join goes:
    its own documents. Each document goes home to the nearest (a Voronoi cell) and
    also to every pivot at most 2 r farther than that: if y lives with q and
    d(x, y) <= r, then d(x, q) <= d(y, q) + r <= d(y, home of x) + r
-   <= d(x, home of x) + 2 r. Cells are regions again. A region that pivots do
-   not make smaller, or that is small, is compared in block pairs of bounded
+   <= d(x, home of x) + 2 r. Cells are regions again. A region that cells do
+   not make less work, or that is small, is compared in block pairs of bounded
    size, which return only the links that join something new.
 
 Every link between different texts is found or already implied by others; no
@@ -96,9 +96,11 @@ def sketches(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFr
     return docs.select(F.col(key).alias("id"), sketch(F.col(text)).alias("_s")).select("id", "_s.*")
 
 
-def with_neighbours(classes: DataFrame, settings: Settings) -> DataFrame:
+def with_neighbours(sketch: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """c of the classes that share as many of their first shingles as a linked one must."""
-    tokens = classes.select("c", F.explode("first").alias("t"))
+    firsts = sketch.select("id", "set", "first").join(classes.select("c", "id", "set"), ["id", "set"])
+    # Dealt by shingle once, for the count and for the join with it.
+    tokens = firsts.select("c", F.explode("first").alias("t")).repartition("t")
     shared = tokens.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
     held = tokens.join(shared, "t", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("held"))
     # A linked set has at least this share of the shingles, so it adds at least this many places.
@@ -121,12 +123,16 @@ def full_sets(docs: DataFrame, key: str, text: str, classes: DataFrame, settings
 
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = source.join(classes.select("c", "id", "set"), "id").select("c", "set", "text")
-    return found.mapInPandas(read, "c long, n long, codes array<long>").dropDuplicates(["c"])
+    sets = store(found.mapInPandas(read, "c long, n long, codes array<long>"), "sets")
+    # Rows that repeat as a whole.
+    if sets.groupBy("c").count().where("count > 1").take(1):
+        sets = store(sets.dropDuplicates(["c"]), "sets")
+    return sets
 
 
 def pivot_pairs(sets: DataFrame, settings: Settings) -> DataFrame:
     """(p, c): every class with the pivots of its rarest shingles."""
-    every = sets.select("c", F.explode("codes").alias("t"))
+    every = sets.select("c", F.explode("codes").alias("t")).repartition("t")
     often = every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     held = every.join(often, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("held"))
     # Shingles that no other class has are the rarest and take the first places.
@@ -159,7 +165,9 @@ def distances(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
 
 def open_regions(members: DataFrame, links: DataFrame, settings: Settings) -> DataFrame:
-    """Members (g, p, c, d, above) that may still have a link to find, with their label; ``above`` is the size of the region they came from.
+    """Members (g, p, c, d, above) that may still have a link to find, with their label, and out: not in the pivot's component.
+
+    ``above`` is the size of the region they came from.
 
     Dropped are regions whose members the links join already, and members of the
     pivot's component that lie farther than r from the distances at which the
@@ -175,19 +183,33 @@ def open_regions(members: DataFrame, links: DataFrame, settings: Settings) -> Da
     rows = store(named.join(span, "g").select("g", "p", "c", "d", "above", "label", (F.col("label") != F.col("main")).alias("out")), "open")
     reach = rows.where("out").groupBy("g").agg((F.min("d") - r).alias("from"), (F.max("d") + r).alias("to"))
     kept = rows.join(reach, "g").where(F.col("out") | F.col("d").between(F.col("from"), F.col("to")))
-    return kept.select("g", "p", "c", "d", "above", "label")
+    return kept.select("g", "p", "c", "d", "above", "label", "out")
 
 
 def cells(members: DataFrame, sets: DataFrame, level: int, settings: Settings) -> DataFrame:
-    """The Voronoi cells, with their windows, of large regions: g, p, c, d, near, above."""
+    """Large regions parted: g, p, c, d, near, above of the Voronoi cells with their windows.
+
+    Where windows hold so much that the cells together are more work than half
+    of the region, the region stays whole; the links to its new pivots, which
+    come with ``near``, have still joined many of its documents.
+    """
     r2 = 2 * (1 - settings.percent / 100) + SLACK
-    drawn = [F.min_by("c", F.xxhash64("c", F.lit(level), F.lit(i))) for i in range(settings.pivots)]
+    drawn = [F.min_by("c", F.when(F.col("out"), F.xxhash64("c", F.lit(level), F.lit(i)))) for i in range(settings.pivots)]
     pivots = members.groupBy("g").agg(F.array_distinct(F.array(*drawn)).alias("ps"))
     pairs = members.select("g", "c", "size").join(pivots, "g").select("g", "c", "size", F.explode("ps").alias("p"))
     far = store(distances(pairs, sets, settings), "pivot-distances")
     home = far.groupBy("g", "c").agg(F.min("d").alias("least"))
-    inside = far.join(home, ["g", "c"]).where(F.col("d") <= F.col("least") + r2)
-    return inside.where("c <> p").select(F.xxhash64("g", "p").alias("g"), "p", "c", "d", "near", F.col("size").alias("above"))
+    inside = far.join(home, ["g", "c"]).withColumn("within", F.col("d") <= F.col("least") + r2)
+    sizes = inside.where("within").groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    helped = sizes.groupBy("g").agg((F.sum(F.col("n") * F.col("n")) * 2 < F.first("size") * F.first("size")).alias("helped"))
+    known = store(inside.where("c <> p").join(helped, "g"), "cells")
+    parted = known.where("helped AND within").select(F.xxhash64("g", "p").alias("g"), "p", "c", "d", "near", F.col("size").alias("above"))
+    links = known.where("near AND NOT (helped AND within)").select("g", "p", "c", "d", "near", F.lit(None).cast("long").alias("above"))
+    whole = members.join(helped.where("NOT helped").select("g"), "g", "left_semi")
+    whole = whole.select("g", "p", "c", "d", F.lit(False).alias("near"), F.col("size").alias("above"))
+    return parted.withColumn("member", F.lit(True)).unionByName(links.withColumn("member", F.lit(False))).unionByName(
+        whole.where("c <> p").withColumn("member", F.lit(True))
+    )
 
 
 def compare_blocks(members: DataFrame, sizes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -256,9 +278,9 @@ def class_links(sets: DataFrame, settings: Settings) -> DataFrame:
         links = links.unionByName(more)
         if not large.take(1):
             return links
-        found = store(cells(rows.drop("p", "d", "above", "label").join(large.select("g", "size"), "g"), sets, level, settings), "cells")
+        found = store(cells(rows.join(large.select("g", "size"), "g"), sets, level, settings), "parted")
         links = links.unionByName(found.where("near").select(F.col("p").alias("a"), F.col("c").alias("b")))
-        members = found.drop("near")
+        members = found.where("member").drop("near", "member")
     raise AssertionError("the last level compares all that is left")
 
 
@@ -267,11 +289,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     small_batches(docs.sparkSession)
     sketch = store(sketches(docs, key, text, settings), "sketches")
     full = sketch.where("n > 0 and id is not null")
-    classes = full.groupBy("set").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "first"), "id").alias("s"))
+    classes = full.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     # Written once, so that the numbers stay.
-    classes = store(classes.select(F.monotonically_increasing_id().alias("c"), "set", "id", "s.*"), "classes")
-    near = store(classes.select("c", "set", "id").join(with_neighbours(classes, settings), "c"), "with-neighbours")
-    sets = store(full_sets(docs, key, text, near, settings), "sets")
+    classes = store(classes.select(F.monotonically_increasing_id().alias("c"), "set", "id", "n"), "classes")
+    near = store(classes.select("c", "set", "id").join(with_neighbours(full, classes, settings), "c"), "with-neighbours")
+    sets = full_sets(docs, key, text, near, settings)
     links = class_links(sets, settings)
 
     # Rows that share a key but not a set are one document all the same.
