@@ -86,6 +86,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def remove_stages(spark: SparkSession, keep: Collection[str] = ()) -> int:
     """Delete the intermediate tables of this session, once their results are read.
 
