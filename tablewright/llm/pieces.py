@@ -176,8 +176,8 @@ class Codec:
     second look, and every word of every text is verified all the same.
     """
 
-    #: Words that a worker remembers; reached, it starts anew.
-    REMEMBERED = 150_000
+    #: Words that a worker remembers newly; reached, those not seen since the last time are let go.
+    REMEMBERED = 75_000
     #: New words that are compared at once.
     RUN = 500
     #: Threads of a worker, unless RAYON_NUM_THREADS says otherwise.
@@ -194,8 +194,12 @@ class Codec:
         self.apart = self.model.mark_spaces and self.model.dummy_prefix and self.model.marks_only_lead()
         self.of_words = self.model.tokenizer()
         self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = None
+        # Pieces that begin with a marker; where words are apart, a word has one, and it is the word's first.
+        self.leads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.plain = not self.model.char_map and not self.model.trim_spaces
         self.ids: dict[str, bytes] = {}  # 32-bit ids, one after another
+        self.before: dict[str, bytes] = {}  # those remembered before the last time the limit was reached
         self.differ: set[str] = set()
         self.lossy: set[str] = set()
 
@@ -219,18 +223,35 @@ class Codec:
         # The marker in front of a word is the one that sentencepiece puts there itself.
         texts = [w[1:].replace(MARK, " ") for w in words]
         judged = self.judge.encode(texts, num_threads=1)
-        for i in range(0, len(words), self.RUN):
-            r = slice(i, i + self.RUN)
-            kept = self._keep(words[r], judged[r])
-            back = self.own.decode(list(chain.from_iterable(kept)), skip_special_tokens=False)
-            if back != " ".join(texts[r]):
-                self._look_back(words[r], kept)
+        runs = [slice(i, i + self.RUN) for i in range(0, len(words), self.RUN)]
+        own = self.of_words.encode_batch_fast([words[r] for r in runs], is_pretokenized=True, add_special_tokens=False)
+        for r, e in zip(runs, own, strict=True):
+            kept = self._keep_run(words[r], judged[r], e.ids)
+            if self.own.decode(kept, skip_special_tokens=False) != " ".join(texts[r]):
+                self._look_back(words[r], [np.frombuffer(self.ids[w], dtype=np.int32).tolist() for w in words[r]])
         if single:
             # A lone marker, as at the end of a text, which sentencepiece would not put before nothing.
             judged = self.judge.encode([w[1:].replace(MARK, " ") for w in single], num_threads=1)
             kept = self._keep(single, [j if w != MARK else [self.judge.piece_to_id(MARK)] for w, j in zip(single, judged, strict=True)])
             self._look_back(single, kept)
 
+    def _keep_run(self, words: list[str], judged: list[list[int]], own: list[int]) -> list[int]:
+        """Remember the ids of a run of words; ``own`` are those of the tokenizers library, one word after another.
+
+        Two equal sequences with one leading marker a word are equal word by
+        word. Any other run is encoded and compared by word.
+        """
+        flat = np.fromiter(chain.from_iterable(judged), dtype=np.int32)
+        ends = np.cumsum(np.fromiter(map(len, judged), dtype=np.int64, count=len(judged)))
+        starts = ends - np.fromiter(map(len, judged), dtype=np.int64, count=len(judged))
+        found = np.array(own, dtype=np.int32)
+        if np.array_equal(found, flat) and (starts < ends).all() and self.leads[flat].sum() == len(words) and self.leads[flat[starts]].all():
+            data = _packed(own)
+            for w, a, b in zip(words, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
+                self.ids[w] = data[a:b]
+            return own
+        return list(chain.from_iterable(self._keep(words, judged)))
+
     def _keep(self, words: list[str], judged: list[list[int]]) -> list[list[int]]:
         """Remember the ids of the tokenizers library, or those of sentencepiece for words where the two differ."""
         kept = []
@@ -260,17 +281,20 @@ class Codec:
     def _by_words(self, texts: list[str]) -> list[tuple]:
         normal = [self.normal(t) for t in texts]
         words = [_WORDS.findall(n) for n in normal]
-        new = list(set().union(*words).difference(self.ids))
-        if len(self.ids) + len(new) > self.REMEMBERED:
-            for kept in (self.ids, self.differ, self.lossy):
-                kept.clear()
-            new = list(set().union(*words))
+        if len(self.ids) > self.REMEMBERED:
+            self.before, self.ids = self.ids, {}
+            for kept in (self.differ, self.lossy):
+                kept.intersection_update(self.before)
+        new = set().union(*words).difference(self.ids)
+        for w in new.intersection(self.before):
+            self.ids[w] = self.before[w]
+        new = list(new.difference(self.before))
         self.learn(new)
         out = []
         for t, n, w in zip(texts, normal, words, strict=True):
             ids = np.frombuffer(b"".join(map(self.ids.__getitem__, w)), dtype=np.int32)
             parity = not self.differ or self.differ.isdisjoint(w)
-            same = n[1:].replace(MARK, " ") == t and (not self.lossy or self.lossy.isdisjoint(w))
+            same = (MARK not in t if self.plain else n[1:].replace(MARK, " ") == t) and (not self.lossy or self.lossy.isdisjoint(w))
             out.append((ids, int(self.is_byte[ids].sum()), parity, same))
         return out
 
