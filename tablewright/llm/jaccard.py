@@ -96,16 +96,18 @@ def sketches(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFr
     return docs.select(F.col(key).alias("id"), sketch(F.col(text)).alias("_s")).select("id", "_s.*")
 
 
-def with_neighbours(sketch: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """c of the classes that share as many of their first shingles as a linked one must."""
-    firsts = sketch.select("id", "set", "first").join(classes.select("c", "id", "set"), ["id", "set"])
+def with_neighbours(sketch: DataFrame, settings: Settings) -> DataFrame:
+    """set of the classes that share as many of their first shingles as a linked one must."""
+    # A class by a short name and as often as it has rows; all of its rows hold the same shingles.
+    short = F.xxhash64("set")
     # Dealt by shingle once, for the count and for the join with it.
-    tokens = firsts.select("c", F.explode("first").alias("t")).repartition("t")
+    tokens = sketch.select(short.alias("c"), F.explode("first").alias("t")).repartition("t")
     shared = tokens.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
     held = tokens.join(shared, "t", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("held"))
+    sizes = sketch.groupBy("set").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")).withColumn("c", short)
     # A linked set has at least this share of the shingles, so it adds at least this many places.
-    needed = F.expr(f"1 + ((n * {settings.percent} + 99) div 100) div {settings.extra}")
-    return held.join(classes.select("c", "n"), "c").where(F.col("held") >= needed).select("c")
+    needed = F.expr(f"rows * (1 + ((n * {settings.percent} + 99) div 100) div {settings.extra})")
+    return sizes.join(held, "c").where(F.col("held") >= needed).select("set")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -265,7 +267,10 @@ def _sizes(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
 
 def class_links(sets: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between the classes of ``sets`` (c, n, codes) that join all that similarity joins."""
-    far = store(distances(pivot_pairs(sets, settings), sets, settings), "pivot-distances")
+    pairs = store(pivot_pairs(sets, settings), "pivot-pairs")
+    met = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).distinct()
+    sets = store(sets.join(met, "c", "left_semi"), "sets")
+    far = store(distances(pairs, sets, settings), "pivot-distances")
     links = far.where("near").select(F.col("p").alias("a"), F.col("c").alias("b"))
     members = far.select(F.col("p").alias("g"), "p", "c", "d", F.lit(None).cast("long").alias("above"))
     for level in range(settings.levels + 1):
@@ -292,7 +297,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = full.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     # Written once, so that the numbers stay.
     classes = store(classes.select(F.monotonically_increasing_id().alias("c"), "set", "id", "n"), "classes")
-    near = store(classes.select("c", "set", "id").join(with_neighbours(full, classes, settings), "c"), "with-neighbours")
+    near = store(classes.select("c", "set", "id").join(with_neighbours(full, settings), "set"), "with-neighbours")
     sets = full_sets(docs, key, text, near, settings)
     links = class_links(sets, settings)
 
