@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from tablewright.functions import text as tx
 from tablewright.functions.numeric import clean_ratio, ratio
-from tablewright.operators.joins import attach
+from tablewright.functions.stem import russian_stem
+from tablewright.operators.joins import attach, fits_broadcast
+from tablewright.operators.phrases import covered_tokens
+from tablewright.session import materialize
 
 SMOOTHING = 0.01  # fixed value: added to both polarity counts of the ratio
 
@@ -110,18 +113,29 @@ def polarity(df: DataFrame, key: str, words: Mapping[str, str], lexicon: DataFra
 PHRASE_END = "\u0001"
 
 
-def entity_words(
-    df: DataFrame, key: str, tokens: Mapping[str, str], entities: DataFrame, max_len: int = 3
-) -> DataFrame:
-    """Number of tokens inside phrases of an entity table (column ``phrase``).
+def entity_words(df: DataFrame, key: str, tokens: Mapping[str, str], entities: DataFrame) -> DataFrame:
+    """Number of tokens inside phrases of an entity table (column ``phrase``), whatever their length.
 
-    Only tokens that begin a phrase are looked up; the rest of the phrase is
-    compared in place. A token covered by several phrases counts once. The
-    positions of a row meet in one aggregate, which a task that holds the row
-    whole has already done before the shuffle.
+    A token covered by several phrases counts once. A table whose measured
+    size may be broadcast becomes an automaton in every worker, and the rows are
+    not shuffled. A larger one is joined by the first token of its phrases.
     """
+    listed = materialize(entities.select("phrase").where("phrase <> ''").distinct(), "phrases")
+    if fits_broadcast(listed):
+        phrases = sorted(r.phrase for r in listed.collect())
+        return df.select(key, *[covered_tokens(df.sparkSession, phrases, c).alias(f"CNT_Named_Entity_{f}") for f, c in tokens.items()])
+    return _entity_join(df, key, tokens, listed)
+
+
+def _entity_join(df: DataFrame, key: str, tokens: Mapping[str, str], entities: DataFrame) -> DataFrame:
+    """The same by a join: only tokens that begin a phrase are looked up, the rest of it is compared in place.
+
+    The positions of a row meet in one aggregate, which a task that holds the
+    row whole has already done before the shuffle.
+    """
+    max_len = entities.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     words = F.split("phrase", " ")
-    heads = entities.select("phrase").distinct().groupBy(words[0].alias("token")).agg(
+    heads = entities.groupBy(words[0].alias("token")).agg(
         F.array_join(F.sort_array(F.collect_list("phrase")), PHRASE_END).alias("phrases")
     )
 
@@ -145,6 +159,17 @@ def entity_words(
     )
 
 
+def stem_table(df: DataFrame, words: Mapping[str, str], override: DataFrame | None = None) -> DataFrame:
+    """(word, stem) of every different word of the columns ``words``, by rule; ``override`` (word, stem) goes first."""
+    found = _explode_fields(df.select(*words.values()).withColumn("_k", F.lit(1)), "_k", words, "word")
+    found = found.select(F.lower("word").alias("word")).where("word is not null").distinct()
+    ruled = found.withColumn("stem", russian_stem("word"))
+    if override is None:
+        return ruled
+    given = override.groupBy("word").agg(F.min("stem").alias("_given"))
+    return attach(ruled, given, "word").select("word", F.coalesce("_given", "stem").alias("stem"))
+
+
 def normalise_terms(
     df: DataFrame, key: str, words: Mapping[str, str], stems: DataFrame | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:

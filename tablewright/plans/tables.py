@@ -16,6 +16,7 @@ from tablewright.plans.registry import ITEMS, Tables, query
 from tablewright.session import fresh_path, materialize
 from tablewright.sources import images as im
 from tablewright.sources import tables as st
+from tablewright.sources.records import read_records
 from tablewright.streaming.resume import process_new_files
 
 
@@ -338,6 +339,15 @@ def csv_roundtrip_scan(t: Tables):
     return back.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "word")
 
 
+@query("csv_ranges_scan", """SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5, nullif(lang, 'de') AS lang FROM documents""")
+def csv_ranges_scan(t: Tables):
+    """The same from byte ranges of the files, although texts hold line breaks."""
+    docs = t.documents.select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"))
+    path = st.write_csv(docs, fresh_path(t.spark, "csv"), null_value=r"\N")
+    back = read_records(t.spark, path, docs.schema, null_value=r"\N")
+    return back.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang")
+
+
 @query("quarantine_rows", """SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'user type in category'
 WHEN o_orderkey % 101 = 0 THEN 'unparsable' END AS reject_reason FROM orders""")
 def quarantine_rows(t: Tables):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import stem as st
 from tablewright.functions import text as tx
 from tablewright.operators import lsa as ls
 from tablewright.operators import ordering as o
@@ -307,3 +308,39 @@ def lsa_singular_moments(t: Tables):
     """All singular values, by their sums of squares and of fourth powers."""
     s = F.col("singular_value")
     return _title_values(t).agg(r(F.sum(s * s), 4).alias("squares"), r(F.sum(F.pow(s, 4.0)), 2).alias("fourth_powers"))
+
+
+# A Cyrillic letter for each Latin one, so that the rules meet words of the given texts.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+CYRILLIC = "абцдефгхийклмнопюрстувшщыя"
+
+
+def _stem_sql(word: str) -> str:
+    """The stem rules step by step; ``word`` names a table with a column word."""
+    def cut(c: str, pattern: str, keep: str = "") -> str:
+        return f"regexp_replace({c}, '{pattern}', '{keep}')"
+
+    one = r"\1"
+    return f"""
+a AS (SELECT word, regexp_extract(word, '{st.HEAD_PATTERN}') AS head, length(regexp_extract(word, '{st.SECOND_PATTERN}')) AS start FROM {word}),
+b AS (SELECT *, substr(word, length(head) + 1) AS rest FROM a),
+c AS (SELECT *, {cut('rest', st.GERUND_PATTERN, one)} AS gerund, {cut('rest', '(ся|сь)$')} AS bare FROM b),
+d AS (SELECT *, {cut('bare', st.ADJECTIVE_PATTERN)} AS adjective, {cut('bare', st.VERB_PATTERN, one)} AS verb FROM c),
+e AS (SELECT *, CASE WHEN gerund <> rest THEN gerund WHEN adjective <> bare THEN {cut('adjective', st.PARTICIPLE_PATTERN, one)}
+  WHEN verb <> bare THEN verb ELSE {cut('bare', st.ending(st.NOUN))} END AS first FROM d),
+f AS (SELECT *, {cut('first', 'и$')} AS second FROM e),
+g AS (SELECT *, {cut('second', st.ending(st.DERIVED))} AS derived FROM f),
+h AS (SELECT *, CASE WHEN start > 0 AND length(head) + length(derived) >= start THEN derived ELSE second END AS third FROM g),
+i AS (SELECT *, {cut('third', st.ending(st.SUPERLATIVE))} AS superlative FROM h),
+j AS (SELECT *, CASE WHEN superlative <> third THEN {cut('superlative', 'нн$', 'н')} WHEN ends_with(third, 'нн') THEN {cut('third', 'нн$', 'н')}
+  ELSE {cut('third', 'ь$')} END AS last FROM i)
+SELECT word, CASE WHEN head = '' THEN word ELSE head || last END AS stem FROM j"""
+
+
+@query("rule_stems", f"""WITH w AS (
+SELECT DISTINCT translate(lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))), '{LATIN}', '{CYRILLIC}') AS word FROM documents),{_stem_sql('w')}""")
+def rule_stems(t: Tables):
+    """Stems by rule of every different word of the texts, its letters read as Cyrillic ones."""
+    words = t.texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    read = words.select(F.translate(F.lower("w"), LATIN, CYRILLIC).alias("word")).distinct()
+    return read.withColumn("stem", st.russian_stem("word"))
