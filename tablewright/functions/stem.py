@@ -45,6 +45,27 @@ def _cut(c: Column, pattern: str, keep: str = "") -> Column:
     return F.regexp_replace(c, pattern, keep)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _ended(bare: Column) -> Column:
+    """Without the first ending of an adjective with its participle, a verb or a noun."""
+    adjective = lambda cut: F.when(cut != bare, _cut(cut, PARTICIPLE_PATTERN, "$1"))
+    verb = lambda cut: F.when(cut != bare, cut)
+    return F.coalesce(
+        _let(_cut(bare, ADJECTIVE_PATTERN), adjective), _let(_cut(bare, VERB_PATTERN, "$1"), verb), _cut(bare, f"{_any(NOUN)}$")
+    )
+
+
+def _finished(third: Column) -> Column:
+    """Without a superlative ending, a doubled consonant or a soft sign."""
+    return _let(_cut(third, f"{_any(SUPERLATIVE)}$"), lambda cut: F.when(cut != third, _cut(cut, "нн$", "н")).when(
+        third.endswith("нн"), _cut(third, "нн$", "н")
+    ).otherwise(_cut(third, "ь$")))
+
+
 def russian_stem(word) -> Column:
     """The stem of a word in lower case.
 
@@ -53,21 +74,17 @@ def russian_stem(word) -> Column:
     """
     plain = F.translate(F.col(word) if isinstance(word, str) else word, "ё", "е")
     head = F.regexp_extract(plain, HEAD_PATTERN, 0)
-    rest = F.substr(plain, F.length(head) + 1)
-    # Gerund; else reflexive, and the first of adjective with participle, verb, noun.
-    gerund = _cut(rest, GERUND_PATTERN, "$1")
-    bare = _cut(rest, f"{_any(REFLEXIVE)}$")
-    adjective = _cut(bare, ADJECTIVE_PATTERN)
-    verb = _cut(bare, VERB_PATTERN, "$1")
-    first = (
-        F.when(gerund != rest, gerund).when(adjective != bare, _cut(adjective, PARTICIPLE_PATTERN, "$1"))
-        .when(verb != bare, verb).otherwise(_cut(bare, f"{_any(NOUN)}$"))
-    )
-    second = _cut(first, "и$")
     # A derived ending has to lie in the second region of the whole word.
     start = F.length(F.regexp_extract(plain, SECOND_PATTERN, 0))
-    cut = _cut(second, f"{_any(DERIVED)}$")
-    third = F.when((start > 0) & (F.length(head) + F.length(cut) >= start), cut).otherwise(second)
-    superlative = _cut(third, f"{_any(SUPERLATIVE)}$")
-    last = F.when(superlative != third, _cut(superlative, "нн$", "н")).when(third.endswith("нн"), _cut(third, "нн$", "н")).otherwise(_cut(third, "ь$"))
-    return F.when(head == "", plain).otherwise(F.concat(head, last))
+
+    def behind(rest: Column) -> Column:
+        # Gerund; else reflexive, and the first of adjective with participle, verb, noun.
+        first = _let(_cut(rest, GERUND_PATTERN, "$1"), lambda cut: F.when(cut != rest, cut).otherwise(
+            _let(_cut(rest, f"{_any(REFLEXIVE)}$"), _ended)
+        ))
+        third = _let(_cut(first, "и$"), lambda second: _let(_cut(second, f"{_any(DERIVED)}$"), lambda cut: F.when(
+            (start > 0) & (F.length(head) + F.length(cut) >= start), cut
+        ).otherwise(second)))
+        return _let(third, _finished)
+
+    return F.when(head == "", plain).otherwise(F.concat(head, _let(F.substr(plain, F.length(head) + 1), behind)))

@@ -62,6 +62,27 @@ def label_dictionary(dfs: Sequence[DataFrame], columns: Sequence[str], code_type
     return ranked.select("column", "value", (F.col("_at") - F.col("_first")).cast(code_type).alias("code"))
 
 
+def extend_dictionary(dictionary: DataFrame, dfs: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """A later version of a dictionary: known values keep their codes, new ones follow.
+
+    The new values of a column are ranked in code-point order behind its highest
+    code, by ranges, so there may be any number of them. Values that the tables
+    no longer hold stay. Versions join by value, and equal codes mean the same.
+    """
+    both = _stack(dfs).select(*columns)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
+    seen = both.select(F.inline(pairs)).distinct()
+    new = seen.join(dictionary.select("column", "value"), ["column", "value"], "left_anti")
+    placed = global_index(new, ["column", "value"], "_at")
+    # As many rows as there are columns to code.
+    first = placed.groupBy("column").agg(F.min("_at").alias("_first"))
+    top = dictionary.groupBy("column").agg((F.max("code") + 1).alias("_next"))
+    ranked = placed.join(F.broadcast(first), "column").join(F.broadcast(top), "column", "left")
+    code = F.coalesce("_next", F.lit(0)) + F.col("_at") - F.col("_first")
+    added = ranked.select("column", "value", code.cast(dict(dictionary.dtypes)["code"]).alias("code"))
+    return dictionary.select("column", "value", "code").unionByName(added)
+
+
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], unseen: int | None = None) -> DataFrame:
     """Replace values by codes; a value the dictionary lacks gets ``unseen``.
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tablewright.operators import groups as g
 from tablewright.operators import model
 from tablewright.operators.joins import attach
+from tablewright.operators.states import StateStore
 from tablewright.plans.registry import ITEMS, PERIODS, Tables, query, r, rounded
+from tablewright.session import fresh_path
 
 ENCODED = ("region", "category_name", "parent_category_name")
 
@@ -195,3 +197,18 @@ FROM items LEFT JOIN per_user USING (user_id)""")
 def listing_features(t: Tables):
     items = t.orders.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("user_id"))
     return rounded(g.listing_features(items, t.periods, items).drop("user_id"))
+
+
+@query("hist_by_batches", f"""WITH {ITEMS}
+SELECT user_id, count(DISTINCT region) AS region_user_nunique, count(DISTINCT city) AS city_user_nunique,
+  count(DISTINCT category_name) AS ctg_name_user_nunique, count(DISTINCT parent_category_name) AS prtctg_nm_user_nunique,
+  round(avg(price), 6) AS price_user_mean, round(coalesce(stddev_samp(price), 0), 4) AS price_user_std FROM items GROUP BY user_id""")
+def hist_by_batches(t: Tables):
+    """User history from a state that four batches of days were merged into, one of them twice."""
+    fields = list(dict.fromkeys(f.field for f in g.USER_FEATURES if f.stat == "nunique"))
+    store = StateStore(t.spark, fresh_path(t.spark, "history"), "user_id", ["price"], fields)
+    batch = F.pmod(F.dayofyear("activation_date"), F.lit(4))
+    for i in (2, 0, 3, 2, 1):
+        store.add(f"batch {i}", t.items.where(batch == i))
+    out = store.features(g.USER_FEATURES)
+    return out.withColumns({"price_user_mean": r("price_user_mean", 6), "price_user_std": r("price_user_std", 4)})

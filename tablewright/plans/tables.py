@@ -12,6 +12,7 @@ from tablewright.operators import joins as j
 from tablewright.operators import model
 from tablewright.operators import ordering as o
 from tablewright.operators import sets as s
+from tablewright.operators.spelling import enrich_near
 from tablewright.plans.registry import ITEMS, Tables, query
 from tablewright.session import fresh_path, materialize
 from tablewright.sources import images as im
@@ -123,6 +124,39 @@ def geo_enrich(t: Tables):
     return placed.select("item_id", "region_city", "population", "latitude", "longitude")
 
 
+@query("geo_enrich_spelling", f"""WITH {ITEMS},
+pop AS (SELECT n_name AS city, 1000 * (n_nationkey + 1) AS population FROM nation WHERE n_nationkey % 5 <> 0),
+spelled AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN left(city, 1) || substr(city, 3) WHEN 2 THEN 'Q' || substr(city, 2)
+  WHEN 3 THEN substr(city, 2, 1) || left(city, 1) || substr(city, 3) ELSE city END AS city FROM items),
+near AS (SELECT s.city, p.city AS city_match, levenshtein(s.city, p.city) AS d, population FROM (SELECT DISTINCT city FROM spelled) s, pop p),
+best AS (SELECT * FROM near WHERE d = 0 OR (d <= 2 AND least(length(city), length(city_match)) >= 4)
+  QUALIFY row_number() OVER (PARTITION BY city ORDER BY d, city_match) = 1)
+SELECT item_id, s.city, city_match, CAST(d AS INTEGER) AS city_distance, population FROM spelled s LEFT JOIN best USING (city)""")
+def geo_enrich_spelling(t: Tables):
+    """Population by city although three of four cities are spelled with a letter lost, wrong or swapped."""
+    population = t.nation.where("n_nationkey % 5 <> 0").select(
+        F.col("n_name").alias("city"), (1000 * (F.col("n_nationkey") + 1)).alias("population")
+    )
+    city, kind = F.col("city"), F.col("item_id") % 4
+    spelled = F.when(kind == 1, F.concat(F.substring(city, 1, 1), F.substr(city, F.lit(3)))).when(
+        kind == 2, F.concat(F.lit("Q"), F.substr(city, F.lit(2)))
+    ).when(kind == 3, F.concat(F.substring(city, 2, 1), F.substring(city, 1, 1), F.substr(city, F.lit(3)))).otherwise(city)
+    return enrich_near(t.items.select("item_id", spelled.alias("city")), population, "city")
+
+
+@query("label_extend", f"""WITH {ITEMS},
+long AS (SELECT item_id % 5 = 0 AND region < 'C' AS early, unnest([{{'c': 'city', 'v': city}}, {{'c': 'category_name', 'v': category_name}}, {{'c': 'day', 'v': CAST(activation_date AS VARCHAR)}}]) AS s FROM items),
+seen AS (SELECT s.c AS c, s.v AS v, bool_or(early) AS early FROM long GROUP BY 1, 2)
+SELECT c AS "column", v AS value, CAST(row_number() OVER (PARTITION BY c ORDER BY NOT early, v) - 1 AS INTEGER) AS code, early AS known FROM seen""")
+def label_extend(t: Tables):
+    """Codes of a few items, then of all: those known before keep theirs."""
+    rows = t.items.withColumn("day", F.col("activation_date").cast("string"))
+    names = ["city", "category_name", "day"]
+    first = materialize(e.label_dictionary([rows.where("item_id % 5 = 0 AND region < 'C'")], names), "codes")
+    later = e.extend_dictionary(first, [rows], names)
+    return later.join(first.select("column", "value", F.lit(True).alias("known")), ["column", "value"], "left").fillna(False)
+
+
 @query("key_normalise", r"""WITH named AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url
   ELSE regexp_replace(url, '[?#].*$', '') || '.jpg' || CASE WHEN page_id % 3 = 1 THEN '?size=2' ELSE '' END END AS url FROM pages)
 SELECT page_id, regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\.jpg$', '') AS image FROM named""")
