@@ -10,8 +10,8 @@ all its words, and the language with the least is chosen.
 
 Training counts words and n-grams with Spark over a bounded sample of labelled
 rows (about ``rows_per_language``, chosen by a hash of the key) and keeps the
-most frequent entries of each list, so the model has a proven size and is
-broadcast. Every text is then scored whole, inside the tasks of its scan.
+most frequent entries of each list, fewer the more languages there are, so the
+model has a proven size and is broadcast. Every label is learned. Every text is then scored whole, inside the tasks of its scan.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0. A text of letters of which nothing is known gets the most frequent
@@ -46,14 +46,41 @@ class Settings:
     """Bounds of the model; they do not depend on the size of the input."""
 
     rows_per_language: int = 2000
-    max_languages: int = 64
     max_words: int = 20_000
     max_ngrams: int = 8_000
+    #: Lists of more languages than this are shorter, so that the model keeps its size; no language is left out.
+    full_lists: int = 64
     longest: int = 5
     #: Negative log10 frequency of an entry that a language does not have.
     penalty: float = 7.0
 
 
+@dataclass
+class Scores:
+    """A matrix of entries by languages that holds only what the lists hold; all else is the penalty.
+
+    The last row is the penalty everywhere.
+    """
+
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+    penalty: float
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.full((len(rows), self.width), self.penalty)
+        ends = np.append(self.starts[1:], len(self.values))[rows]
+        sizes = ends - self.starts[rows]
+        # Places of the values of all rows, one row after another.
+        at = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
+        out[np.repeat(np.arange(len(rows)), sizes), self.columns[at]] = self.values[at]
+        return out
+
+
 @dataclass
 class Model:
     """Scores by entry: ``tables[0]`` for words, ``tables[n]`` for n-grams of n characters.
@@ -64,12 +91,12 @@ class Model:
 
     languages: list[str]
     tables: dict[int, dict[str, int]]
-    scores: np.ndarray
+    scores: np.ndarray | Scores
     longest: int
     _seen: dict[str, int] = field(default_factory=dict)
     _rows: np.ndarray | None = None
 
-    #: Words whose scores a worker remembers; reached, it starts anew.
+    #: Words whose scores a worker remembers, fewer with more than four languages; reached, it starts anew.
     REMEMBERED = 200_000
 
     def _entries(self, word: str) -> list[int]:
@@ -100,10 +127,10 @@ class Model:
         seen = self._seen
         new = list(set(words).difference(seen))
         if self._rows is None or len(seen) + len(new) > len(self._rows):
-            if self._rows is not None and len(seen) + len(new) > self.REMEMBERED:
+            if self._rows is not None and len(seen) + len(new) > self.REMEMBERED * 4 // max(4, len(self.languages)):
                 seen.clear()
                 new = list(set(words))
-            grown = np.empty((max(1 << 14, 2 * (len(seen) + len(new))), len(self.languages)))
+            grown = np.empty((max((1 << 16) // len(self.languages), 2 * (len(seen) + len(new))), len(self.languages)))
             if seen:
                 grown[:len(seen)] = self._rows[:len(seen)]
             self._rows = grown
@@ -132,12 +159,11 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str, settings: Settings)
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("k").isNotNull() & ~is_held_out(F.col("k")))
     counts = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    sizes = [(r["l"], r["n"]) for r in counts.orderBy(F.desc("n"), "l").limit(settings.max_languages).collect()]
-    if not sizes:
-        return labelled.limit(0), []
-    share = F.create_map(*[F.lit(x) for l, n in sizes for x in (l, min(1.0, settings.rows_per_language / n))])
+    counts = materialize(counts, "language-sizes")
+    sizes = [(r["l"], r["n"]) for r in counts.orderBy(F.desc("n"), "l").collect()]  # a row for each language
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(draw < F.coalesce(share[F.col("l")], F.lit(0.0))), sizes
+    drawn = labelled.join(F.broadcast(counts), "l").where(draw < F.least(F.lit(1.0), F.lit(float(settings.rows_per_language)) / F.col("n")))
+    return drawn.drop("n"), sizes
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
@@ -173,7 +199,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     lists = words.select("l", F.lit(0).alias("size"), "w", "n").unionByName(grams)
     # A list holds what a bounded sample holds, so its rank is a bounded task.
     each = Window.partitionBy("l", "size")
-    most = F.when(F.col("size") == 0, settings.max_words).otherwise(settings.max_ngrams)
+    share = min(1.0, settings.full_lists / len(languages))
+    most = F.when(F.col("size") == 0, int(settings.max_words * share)).otherwise(int(settings.max_ngrams * share))
     kept = (
         lists.withColumn("total", F.sum("n").over(each))
         .withColumn("place", F.row_number().over(each.orderBy(F.desc("n"), "w")))
@@ -181,12 +208,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     column = {l: i for i, l in enumerate(languages)}
     tables: dict[int, dict[str, int]] = {n: {} for n in range(longest + 1)}
-    at = np.fromiter(
-        (tables[size].setdefault(w, i) for i, (size, w) in enumerate(zip(kept["size"], kept["w"], strict=True))),
-        dtype=np.int64, count=len(kept),
-    )
-    scores = np.full((len(kept) + 1, len(languages)), settings.penalty)
-    scores[at, kept["l"].map(column).to_numpy()] = np.log10(kept["total"]) - np.log10(kept["n"])
+    at = np.empty(len(kept), dtype=np.int64)
+    n = 0
+    for i, (size, w) in enumerate(zip(kept["size"], kept["w"], strict=True)):
+        at[i] = tables[size].setdefault(w, n)
+        n += at[i] == n
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(n + 1))
+    values = (np.log10(kept["total"]) - np.log10(kept["n"])).to_numpy()[order]
+    scores = Scores(starts, kept["l"].map(column).to_numpy()[order], values, len(languages), settings.penalty)
     return Model(languages, tables, scores, longest)
 
 

@@ -72,3 +72,64 @@ def test_defined_results(spark, odd, none):
     assert language.identify(unlabelled).first().lang_pred == "und"
     kept = language.keep_identified(odd)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(100):
+        # Each language has syllables of its own.
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+        rows += [(100 * k + i, fixtures.sentence(rng, 12, fixtures.words_of_language(rng, own, 20)), f"l{i}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    held = [(d, l) for d, _, l in rows if got[d].held_out]
+    assert {r.lang_pred for r in got.values()} == {l for _, _, l in rows} and len(held) > 100
+    assert sum(got[d].lang_pred == l for d, l in held) >= 0.95 * len(held)
+
+
+def plain_scores(rows, settings=language.Settings()):
+    """Lists by plain counting, and the score of a text from every word of it."""
+    lists = {}
+    for _, text, lang in rows:
+        for w in language._WORD.findall(text.lower()):
+            lists.setdefault((lang, 0), language.Counter())[w] += 1
+    for lang in {l for _, _, l in rows}:
+        for w, c in lists[lang, 0].items():
+            for n in range(1, settings.longest + 1):
+                for i in range(len(w) + 3 - n):
+                    lists.setdefault((lang, n), language.Counter())[f" {w} "[i:i + n]] += c
+    languages = sorted({l for _, _, l in rows}, key=lambda l: (-sum(r[2] == l for r in rows), l))
+    logs = {k: {w: np.log10(sum(c.values())) - np.log10(x) for w, x in c.items()} for k, c in lists.items()}
+
+    def of(lang, n, entry):
+        return logs.get((lang, n), {}).get(entry, settings.penalty)
+
+    def known(n, entry):
+        return any(entry in logs.get((l, n), {}) for l in languages)
+
+    def word(w):
+        if known(0, w):
+            return [of(l, 0, w) for l in languages]
+        for n in range(min(settings.longest, len(w) + 2), 0, -1):
+            found = [g for i in range(len(w) + 3 - n) if known(n, g := f" {w} "[i:i + n])]
+            if found:
+                return [sum(of(l, n, g) for g in found) / len(found) for l in languages]
+        return [settings.penalty] * len(languages)
+
+    def text(t):
+        scores = [sum(x) / len(x) for x in zip(*[word(w) for w in language._WORD.findall(t.lower())])]
+        best = min(range(len(languages)), key=lambda i: (round(scores[i], 9), i))
+        return languages[best], 1 / sum(10 ** (scores[best] - s) for s in scores)
+
+    return text
+
+
+def test_rows_equal_brute_force(spark):
+    docs = corpus(spark, 90)
+    rows = [tuple(r) for r in docs.collect()]
+    got = language.identify(docs).collect()
+    want = plain_scores([r for r, g in zip(rows, sorted(got, key=lambda g: g.doc_id)) if not g.held_out])
+    for r in got:
+        lang, share = want(rows[r.doc_id][1])
+        assert r.lang_pred == lang and abs(r.score - share) < 1e-9
