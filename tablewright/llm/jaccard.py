@@ -41,18 +41,19 @@ its component is null. Columns other than key and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import small_batches, store
 from tablewright.llm.components import components
 from tablewright.llm.neardup import shingles
+from tablewright.session import materialize
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,8 @@ class Settings:
     block: int = 512
     block_shingles: int = 1_000_000
     levels: int = 4
+    #: Bits of the test that keeps texts without neighbours from the shuffle: 4 MiB.
+    bits: int = 1 << 25
 
 
 #: Distances are compared with this much room.
@@ -100,8 +103,7 @@ def with_neighbours(sketch: DataFrame, settings: Settings) -> DataFrame:
     """set of the classes that share as many of their first shingles as a linked one must."""
     # A class by a short name and as often as it has rows; all of its rows hold the same shingles.
     short = F.xxhash64("set")
-    # Dealt by shingle once, for the count and for the join with it.
-    tokens = sketch.select(short.alias("c"), F.explode("first").alias("t")).repartition("t")
+    tokens = sketch.select(short.alias("c"), F.explode("first").alias("t"))
     shared = tokens.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
     held = tokens.join(shared, "t", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("held"))
     sizes = sketch.groupBy("set").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")).withColumn("c", short)
@@ -110,6 +112,29 @@ def with_neighbours(sketch: DataFrame, settings: Settings) -> DataFrame:
     return sizes.join(held, "c").where(F.col("held") >= needed).select("set")
 
 
+def _marked(ids: DataFrame, bits: int) -> Callable[[Column], Column]:
+    """A test of an id that every id of ``ids`` passes and few others, by one bit for each hash.
+
+    The bits are ``bits / 8`` bytes whatever the number of ids. With too many ids
+    for them the test passes more, and the join behind it does the rest.
+    """
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    place = spread(F.col("id")) + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for row in parts.collect():  # 4 KiB each, no more than the bits
+        part = np.frombuffer(bytes(row.m), dtype=np.uint8)
+        held[(row.b - 1) * len(part):row.b * len(part)] = part
+    shared = ids.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: test(spread(c))
+
+
 def full_sets(docs: DataFrame, key: str, text: str, classes: DataFrame, settings: Settings) -> DataFrame:
     """c, n and codes (the whole set) of ``classes``, which has c, id and set."""
 
@@ -123,7 +148,9 @@ def full_sets(docs: DataFrame, key: str, text: str, classes: DataFrame, settings
                     out.append((c, len(codes), codes.view(np.int64)))
             yield pd.DataFrame(out, columns=["c", "n", "codes"])
 
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null")
+    # Most texts have no neighbours; they stay where they are.
+    source = source.where(_marked(classes, settings.bits)(F.col("id")))
     found = source.join(classes.select("c", "id", "set"), "id").select("c", "set", "text")
     sets = store(found.mapInPandas(read, "c long, n long, codes array<long>"), "sets")
     # Rows that repeat as a whole.
@@ -134,14 +161,14 @@ def full_sets(docs: DataFrame, key: str, text: str, classes: DataFrame, settings
 
 def pivot_pairs(sets: DataFrame, settings: Settings) -> DataFrame:
     """(p, c): every class with the pivots of its rarest shingles."""
-    every = sets.select("c", F.explode("codes").alias("t")).repartition("t")
+    every = sets.select("c", F.explode("codes").alias("t"))
     often = every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     held = every.join(often, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("held"))
     # Shingles that no other class has are the rarest and take the first places.
     left = F.expr(f"CAST(n - (n * {settings.percent} + 99) div 100 + 1 - (n - size(held)) AS INT)")
     kept = held.join(sets.select("c", "n"), "c").withColumn("left", left).where("left > 0")
     keys = kept.select("c", F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("k")).select("c", F.col("k.t").alias("t"))
-    keys = store(keys, "rare-shingles")
+    keys = materialize(keys, "rare-shingles")
     pivots = keys.groupBy("t").agg(F.min("c").alias("p"), F.max("c").alias("hi")).where("p <> hi").select("t", "p")
     return keys.join(pivots, "t").where("c <> p").select("p", "c").distinct()
 
@@ -182,7 +209,7 @@ def open_regions(members: DataFrame, links: DataFrame, settings: Settings) -> Da
     named = every.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     main = F.max(F.when(F.col("c") == F.col("p"), F.col("label")))
     span = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main.alias("main")).where("lo <> hi").select("g", "main")
-    rows = store(named.join(span, "g").select("g", "p", "c", "d", "above", "label", (F.col("label") != F.col("main")).alias("out")), "open")
+    rows = materialize(named.join(span, "g").select("g", "p", "c", "d", "above", "label", (F.col("label") != F.col("main")).alias("out")), "open")
     reach = rows.where("out").groupBy("g").agg((F.min("d") - r).alias("from"), (F.max("d") + r).alias("to"))
     kept = rows.join(reach, "g").where(F.col("out") | F.col("d").between(F.col("from"), F.col("to")))
     return kept.select("g", "p", "c", "d", "above", "label", "out")
@@ -199,12 +226,12 @@ def cells(members: DataFrame, sets: DataFrame, level: int, settings: Settings) -
     drawn = [F.min_by("c", F.when(F.col("out"), F.xxhash64("c", F.lit(level), F.lit(i)))) for i in range(settings.pivots)]
     pivots = members.groupBy("g").agg(F.array_distinct(F.array(*drawn)).alias("ps"))
     pairs = members.select("g", "c", "size").join(pivots, "g").select("g", "c", "size", F.explode("ps").alias("p"))
-    far = store(distances(pairs, sets, settings), "pivot-distances")
+    far = materialize(distances(pairs, sets, settings), "pivot-distances")
     home = far.groupBy("g", "c").agg(F.min("d").alias("least"))
     inside = far.join(home, ["g", "c"]).withColumn("within", F.col("d") <= F.col("least") + r2)
     sizes = inside.where("within").groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     helped = sizes.groupBy("g").agg((F.sum(F.col("n") * F.col("n")) * 2 < F.first("size") * F.first("size")).alias("helped"))
-    known = store(inside.where("c <> p").join(helped, "g"), "cells")
+    known = materialize(inside.where("c <> p").join(helped, "g"), "cells")
     parted = known.where("helped AND within").select(F.xxhash64("g", "p").alias("g"), "p", "c", "d", "near", F.col("size").alias("above"))
     links = known.where("near AND NOT (helped AND within)").select("g", "p", "c", "d", "near", F.lit(None).cast("long").alias("above"))
     whole = members.join(helped.where("NOT helped").select("g"), "g", "left_semi")
@@ -262,28 +289,28 @@ def _sizes(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
         F.count(F.lit(1)).alias("size"), F.max("above").alias("above"), F.sum("n").alias("total")
     )
     blocks = F.greatest(F.ceil(F.col("size") / settings.block), F.ceil(F.col("total") / settings.block_shingles)).cast("int")
-    return store(n.select("g", "size", "above", blocks.alias("blocks")), "regions")
+    return materialize(n.select("g", "size", "above", blocks.alias("blocks")), "regions")
 
 
 def class_links(sets: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between the classes of ``sets`` (c, n, codes) that join all that similarity joins."""
-    pairs = store(pivot_pairs(sets, settings), "pivot-pairs")
+    pairs = materialize(pivot_pairs(sets, settings), "pivot-pairs")
     met = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).distinct()
     sets = store(sets.join(met, "c", "left_semi"), "sets")
-    far = store(distances(pairs, sets, settings), "pivot-distances")
+    far = materialize(distances(pairs, sets, settings), "pivot-distances")
     links = far.where("near").select(F.col("p").alias("a"), F.col("c").alias("b"))
     members = far.select(F.col("p").alias("g"), "p", "c", "d", F.lit(None).cast("long").alias("above"))
     for level in range(settings.levels + 1):
-        rows = store(open_regions(members, links, settings), "members")
+        rows = materialize(open_regions(members, links, settings), "members")
         sizes = _sizes(rows, sets, settings)
         # A cell that kept nearly all of the region it came from gains nothing from more pivots.
         parted = (F.col("blocks") > 1) & (F.col("above").isNull() | (F.col("size") < 0.8 * F.col("above"))) & F.lit(level < settings.levels)
         large, small = sizes.where(parted), sizes.where(~parted)
-        more = store(compare_blocks(rows.join(small.select("g"), "g", "left_semi"), small, sets, settings), "block-links")
+        more = materialize(compare_blocks(rows.join(small.select("g"), "g", "left_semi"), small, sets, settings), "block-links")
         links = links.unionByName(more)
         if not large.take(1):
             return links
-        found = store(cells(rows.join(large.select("g", "size"), "g"), sets, level, settings), "parted")
+        found = materialize(cells(rows.join(large.select("g", "size"), "g"), sets, level, settings), "parted")
         links = links.unionByName(found.where("near").select(F.col("p").alias("a"), F.col("c").alias("b")))
         members = found.where("member").drop("near", "member")
     raise AssertionError("the last level compares all that is left")
