@@ -215,6 +215,11 @@ def open_regions(members: DataFrame, links: DataFrame, settings: Settings) -> Da
     return kept.select("g", "p", "c", "d", "above", "label", "out")
 
 
+def _of(sets: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+    """The sets of a few members; the rest would only be moved."""
+    return sets.where(_marked(members.select(F.col("c").alias("id")), settings.bits)(F.col("c")))
+
+
 def cells(members: DataFrame, sets: DataFrame, level: int, settings: Settings) -> DataFrame:
     """Large regions parted: g, p, c, d, near, above of the Voronoi cells with their windows.
 
@@ -306,11 +311,13 @@ def class_links(sets: DataFrame, settings: Settings) -> DataFrame:
         # A cell that kept nearly all of the region it came from gains nothing from more pivots.
         parted = (F.col("blocks") > 1) & (F.col("above").isNull() | (F.col("size") < 0.8 * F.col("above"))) & F.lit(level < settings.levels)
         large, small = sizes.where(parted), sizes.where(~parted)
-        more = materialize(compare_blocks(rows.join(small.select("g"), "g", "left_semi"), small, sets, settings), "block-links")
+        alone = materialize(rows.join(small.select("g"), "g", "left_semi"), "small-regions")
+        more = materialize(compare_blocks(alone, small, _of(sets, alone, settings), settings), "block-links")
         links = links.unionByName(more)
         if not large.take(1):
             return links
-        found = materialize(cells(rows.join(large.select("g", "size"), "g"), sets, level, settings), "parted")
+        crowd = materialize(rows.join(large.select("g", "size"), "g"), "large-regions")
+        found = materialize(cells(crowd, _of(sets, crowd, settings), level, settings), "parted")
         links = links.unionByName(found.where("near").select(F.col("p").alias("a"), F.col("c").alias("b")))
         members = found.where("member").drop("near", "member")
     raise AssertionError("the last level compares all that is left")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import small_batches
 from tablewright.operators.ordering import global_index
-from tablewright.session import fresh_path, materialize
+from tablewright.session import fresh_path, materialize, qualified
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,8 @@ def _originals(rows: DataFrame, settings: Settings) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", settings: Settings = Settings()) -> DataFrame:
     """Write the archive under ``path`` and return its manifest, as committed."""
     spark = pages.sparkSession
+    # Without a scheme a path is one of Spark's default file system, not of each worker's disk.
+    path = qualified(spark, path)
     small_batches(spark)
     kind = dict(pages.dtypes)[key]
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
@@ -224,6 +226,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files of the manifest, with the columns ``RECORDS``."""
     small_batches(spark)
     columns = [x.split()[0] for x in RECORDS.split(", ")]
+    path = qualified(spark, path)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(path)
@@ -239,8 +242,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=columns).astype({"occurrence": "int32", "payload_bytes": "int64", "offset": "int64"})
 
     files = read_manifest(spark, path).select("file")
-    # A row is a whole file of records, so rows are dealt out by name.
-    return files.repartition("file").mapInPandas(read, RECORDS)
+    # A row is a whole file of records. As many tasks as files: by their names alone they would all look small enough for one.
+    return files.repartition(max(1, files.count()), "file").mapInPandas(read, RECORDS)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", settings: Settings = Settings(), path: str | None = None) -> DataFrame:
