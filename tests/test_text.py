@@ -162,3 +162,15 @@ def test_lsa_projects_every_document(spark, tiny):
     u, s, _ = np.linalg.svd(want)
     assert out.columns == ["id", "SVD_text_1", "SVD_text_2", "SVD_text_3"]
     assert np.allclose(np.linalg.norm(got, axis=0), s[:3], atol=1e-6)
+
+
+def test_terms_that_need_no_counts_come_once_a_row(spark):
+    words = spark.createDataFrame([(1, ["Cat", "cat", "cats", "dog"]), (1, ["cat"]), (2, [])], "id int, w array<string>")
+    stems = spark.createDataFrame([("cats", "cat")], "word string, stem string")
+    every = ot.normalise_terms(words, "id", {"d": "w"}, stems)
+    once = ot.normalise_terms(words, "id", {"d": "w"}, stems, distinct=True)
+    assert rows(once.select("id", "field", "term"), "id", "term") == [(1, "d", "cat"), (1, "d", "cat"), (1, "d", "cat"), (1, "d", "dog"), (2, None, None)]
+    ranking = spark.createDataFrame([("d", "cat", 0.5, 4), ("d", "dog", 0.5, 1)], "field string, term string, freq_diff double, count long")
+    for how, want in (("score", 0.5), ("term", 1.0)):
+        got = [rows(ot.ranking_score(t, "id", ranking, {"d": "s"}, distinct=how), "id") for t in (every, once)]
+        assert got[0] == got[1] == [(1, want), (2, 0.0)]
