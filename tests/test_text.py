@@ -174,3 +174,24 @@ def test_terms_that_need_no_counts_come_once_a_row(spark):
     for how, want in (("score", 0.5), ("term", 1.0)):
         got = [rows(ot.ranking_score(t, "id", ranking, {"d": "s"}, distinct=how), "id") for t in (every, once)]
         assert got[0] == got[1] == [(1, want), (2, 0.0)]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_blocks_hold_the_weights_of_whole_documents(spark, block_bytes):
+    texts = [(i, t) for i, t in enumerate(TINY)] + [(1, "late fox"), (None, "red fox red")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    weights = ls.lsa_weights(df, "id", "text", STOP, block_bytes)
+    lengths = {r.id: r.s for r in weights.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
+    assert None in lengths and np.allclose(list(lengths.values()), 1.0)  # rows that share a key are one document
+    counts = ls.ngram_counts(df, "id", "text", STOP)
+    before = ls.tfidf(counts, ls.fit_idf(counts, df), "id")
+
+    def listed(w):
+        return sorted(((-1 if r.id is None else r.id, r.term, round(r.weight, 12)) for r in w.collect()))
+
+    assert listed(weights) == listed(before)
+    blocks = ls.lsa_blocks(df, "id", "text", STOP, block_bytes)
+    loadings = blocks.terms.select("term").distinct().select("term", F.array(F.length("term").cast("double")).alias("loadings"))
+    got = {r.id: r.p_1 for r in ls.project(blocks, df.where("id is not null").select("id").distinct(), loadings, "id", 1, "p").collect()}
+    want = {r.id: r.s for r in before.groupBy("id").agg(F.sum(F.col("weight") * F.length("term")).alias("s")).collect()}
+    assert all(abs(got[k] - want.get(k, 0.0)) < 1e-9 for k in got)
