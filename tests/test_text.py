@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,3 +196,55 @@ def test_blocks_hold_the_weights_of_whole_documents(spark, block_bytes):
     got = {r.id: r.p_1 for r in ls.project(blocks, df.where("id is not null").select("id").distinct(), loadings, "id", 1, "p").collect()}
     want = {r.id: r.s for r in before.groupBy("id").agg(F.sum(F.col("weight") * F.length("term")).alias("s")).collect()}
     assert all(abs(got[k] - want.get(k, 0.0)) < 1e-9 for k in got)
+
+
+def test_lsa_keeps_no_vectors_of_terms(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{j}" for j in rng.integers(0, 10**6, 300))) for i in range(120)]
+    sizes = {}
+
+    def stored(df, name="stage"):
+        out = materialize(df, name)
+        sizes[name] = sizes.get(name, 0) + sum(f.stat().st_size for f in Path(out._stored_path.removeprefix("file:")).glob("*.parquet"))
+        return out
+
+    materialize = ls.materialize
+    monkeypatch.setattr(ls, "materialize", stored)
+    out = ls.lsa(spark.createDataFrame(texts, "id int, text string"), "id", "text", STOP, k=10, n_iter=1)
+    assert out.count() == 120
+    # About 70,000 terms: 20 numbers for each of them are 11 MB.
+    assert sum(sizes.values()) < 6_000_000
+
+
+def test_lsa_gives_the_points_of_the_other_way(spark, join_mode):
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{j}" for j in rng.geometric(0.05, rng.integers(1, 40)))) for i in range(90)]
+    # Missing, empty and equal texts, keys of several rows, rows without a key.
+    texts += [(i, None) for i in range(90, 130)] + [(130, ""), (131, None), (131, ""), (132, None), (132, None), (133, None), (133, "w1 w2")]
+    texts += [(200 + i, "w5 w6 w5") for i in range(30)] + texts[:7] + [(None, "w8 w9"), (None, "w8")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    blocks = ls.lsa_blocks(df, "id", "text", STOP)
+    values, loadings = ls.fit_svd(blocks, "id", k=4, oversample=6, n_iter=2)
+    want = ls.project(blocks, df, loadings, "id", 4, "SVD_text")
+    got = ls.lsa(df, "id", "text", STOP, k=4, oversample=6, n_iter=2, matrix_bytes=1000, group_bytes=3000)
+    assert got.columns == want.columns
+    numbers = [np.array(sorted((-1 if r[0] is None else r[0], *map(lambda x: round(x, 6) + 0.0, r[1:])) for r in t.collect())) for t in (want, got)]
+    assert numbers[0].shape == numbers[1].shape and np.allclose(*numbers, atol=2e-6)
+
+
+def test_lsa_keeps_long_keys_apart(spark):
+    df = spark.createDataFrame([(2**53, "w4 w5"), (2**53 + 1, "w3"), (None, "w8")], "id long, text string")
+    got = {r.id: np.array(r[1:]) for r in ls.lsa(df, "id", "text", STOP, k=3).collect()}
+    assert len(got) == 3 and not np.allclose(got[2**53], got[2**53 + 1])
+
+
+def test_noise_is_the_hash_of_term_and_number(spark):
+    terms = spark.createDataFrame([("a",), ("two words",), ("\u0451\u043b\u043a\u0430",)], "term string")
+    for number in (0, 7, 3109):
+        rows = terms.select(F.xxhash64("term").alias("h"), (F.xxhash64("term", F.lit(number)) / F.lit(float(2**63))).alias("v")).collect()
+        assert ls._noise(np.array([r.h for r in rows]), [number])[:, 0].tolist() == [r.v for r in rows]
+
+
+def test_lsa_without_any_word(spark):
+    df = spark.createDataFrame([(1, ""), (2, "x"), (None, "")], "id int, text string")
+    assert rows(ls.lsa(df, "id", "text", STOP, k=2), "id") == [(None, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.0)]
