@@ -248,3 +248,17 @@ def test_noise_is_the_hash_of_term_and_number(spark):
 def test_lsa_without_any_word(spark):
     df = spark.createDataFrame([(1, ""), (2, "x"), (None, "")], "id int, text string")
     assert rows(ls.lsa(df, "id", "text", STOP, k=2), "id") == [(None, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.0)]
+
+
+def test_a_short_lexicon_is_counted_in_place(spark, monkeypatch):
+    data = [(1, ["good", "good", "bad", "x"], ["bad"]), (1, ["bad"], ["q"]), (2, [], []), (3, None, ["good"]), (None, ["good"], ["x", None])]
+    df = spark.createDataFrame(data, "id int, a array<string>, b array<string>")
+    lexicon = spark.createDataFrame([("good", 1), ("bad", -1), ("x", 0), ("y", None), (None, 1)], "word string, polarity int")
+    counted = ot.polarity(df, "id", {"a": "a", "b": "b"}, lexicon)
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()  # no row for each word
+    monkeypatch.setattr(ot, "LEXICON_WORDS", 0)
+    joined = ot.polarity(df, "id", {"a": "a", "b": "b"}, lexicon)
+    assert counted.schema == joined.schema and rows(counted, "id") == rows(joined, "id")
+    monkeypatch.undo()
+    twice = lexicon.unionByName(lexicon.where("word = 'bad'"))
+    assert rows(ot.polarity(df, "id", {"a": "a"}, twice).where("id = 1").select("CNT_Neg_Words_a")) == [(4,)]
