@@ -113,11 +113,22 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", units
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", units: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """All rows of ``docs`` in their mixed order: ranges of slots, sorted inside; written out, file by file in that order."""
-    own, of, at = fresh(docs, "_id"), fresh(docs, "_source"), fresh(docs, "_at")
+def with_places(docs: DataFrame, key: str = "doc_id", source: str = "source", units: DataFrame | None = None, settings: Settings = Settings(), slot: str = "slot", place: str = "place") -> DataFrame:
+    """Every row of ``docs`` with its slot and its place in the slot, in no order."""
+    own, of, at, inside = (fresh(docs, name) for name in ("_id", "_source", "_slot", "_place"))
     placed = schedule(docs, key, source, units, settings)
-    placed = placed.select(F.col(key).alias(own), F.col(source).alias(of), F.struct("slot", "place").alias(at))
+    placed = placed.select(F.col(key).alias(own), F.col(source).alias(of), F.col("slot").alias(at), F.col("place").alias(inside))
     same = docs[key].eqNullSafe(placed[own]) & (F.coalesce(docs[source], F.lit("")) == placed[of])
-    mixed = docs.join(placed, same).drop(own, of)
-    return mixed.repartitionByRange(at).sortWithinPartitions(at).drop(at)
+    joined = docs.join(placed, same).drop(own, of)
+    return joined.withColumnsRenamed({at: slot, inside: place})
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", units: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """All rows of ``docs`` in their mixed order: ranges of slots, sorted inside; written out, file by file in that order.
+
+    A reader may take the files in another order; :func:`with_places` looks the
+    slots of the same rows up again, and they are the same ones.
+    """
+    slot, place = fresh(docs, "_slot"), fresh(docs, "_place")
+    mixed = with_places(docs, key, source, units, settings, slot, place)
+    return mixed.repartitionByRange(slot, place).sortWithinPartitions(slot, place).drop(slot, place)

@@ -25,7 +25,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from importlib import import_module
@@ -347,8 +347,8 @@ def decoded(df: DataFrame, ids: str = "ids", model_path: str | None = None) -> C
     return decode(F.col(ids))
 
 
-def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
-    """key, ids, n_tokens, n_bytes, parity and round_trip of every row; other columns are not read."""
+def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, ids, n_tokens, n_bytes, parity and round_trip of every row, then the columns of ``keep``; others are not read."""
     small_batches(docs.sparkSession, 200)
-    rows = docs.select(F.col(key), encoded(docs, text, model_path).alias("_e")).select(key, "_e.*")
-    return rows.select(key, "ids", F.size("ids").alias("n_tokens"), "n_bytes", "parity", "round_trip")
+    rows = docs.select(key, *keep, encoded(docs, text, model_path).alias("_e")).select(key, *keep, "_e.*")
+    return rows.select(key, "ids", F.size("ids").alias("n_tokens"), "n_bytes", "parity", "round_trip", *keep)

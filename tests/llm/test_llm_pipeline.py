@@ -12,7 +12,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from llm_fixtures import none, odd  # noqa: F401
 
-from tablewright.llm import language, pieces, quality
+from tablewright.llm import language, mixing, pieces, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +50,19 @@ def test_stages_keep_the_columns_of_documents(spark, odd, none):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
 
+def test_the_mixture_reaches_the_last_stage(spark, odd, none):
+    mixed = corpus_pipeline.mix_sources(spark, odd, "")
+    # Another layout of the files must not matter.
+    got = corpus_pipeline.encode_pieces(spark, mixed.repartition(5), "").collect()
+    units = {r.source: r.units for r in mixing.units_by_size(odd).collect()}
+    rows = [(r.doc_id, r.source or "") for r in odd.collect()]
+    place = {(r.doc_id, r.source or ""): (r.slot, r.place) for r in mixing.schedule(odd).collect()}
+    assert sorted(((r.doc_id or 0), r.slot, r.place) for r in got) == sorted(((d or 0), *place[d, s]) for d, s in rows)
+    assert len(got) == len(rows) and len({r.slot for r in got}) >= len(units) > 1
+    empty = corpus_pipeline.encode_pieces(spark, none, "")
+    assert empty.columns[-2:] == ["slot", "place"] and empty.count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 @pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_mix_sources", "op9_warc"])
 def test_sql(spark, name):
