@@ -262,3 +262,30 @@ def test_a_short_lexicon_is_counted_in_place(spark, monkeypatch):
     monkeypatch.undo()
     twice = lexicon.unionByName(lexicon.where("word = 'bad'"))
     assert rows(ot.polarity(df, "id", {"a": "a"}, twice).where("id = 1").select("CNT_Neg_Words_a")) == [(4,)]
+
+
+def test_terms_meet_their_loadings_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(ls, "PART_BYTES", 40)  # many groups of terms
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3} same words") for i in range(40)] + [(40, "alone"), (41, None)], "id long, text string")
+    blocks = ls.lsa_blocks(df, "id", "text", STOP, 300)
+    assert blocks.parts > 10 and blocks.named.select("part").distinct().count() > 5
+    every = blocks.terms.select("term").distinct().where("term <> 'alone' and term not like 'w1%'")  # some without loadings
+    loadings = every.select("term", F.array(F.length("term").cast("double"), F.crc32(F.col("term").cast("binary")) / 1e9).alias("loadings")).localCheckpoint()
+    grouped, single = (ls.project(b, df, loadings, "id", 2, "p") for b in (blocks, ls.Blocks(blocks.rows, blocks.terms, "id", "bigint")))
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in (grouped, single)]
+    assert "Generate" not in plans[0] and "Generate" in plans[1]  # no row for each term
+    assert np.allclose(np.array(rows(grouped, "id")), np.array(rows(single, "id"))) and grouped.count() == 42
+
+
+def test_weights_make_no_row_for_each_term(spark):
+    df = spark.createDataFrame([(1, "red fox red"), (2, "red dog")], "id int, text string")
+    plan = ls.lsa_weights(df, "id", "text", STOP)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_rows_of_term_groups_are_short(spark, monkeypatch):
+    monkeypatch.setattr(ls, "CELLS", 50)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(20))) for i in range(30)], "id long, text string")
+    matrix = ls._counted_groups(df, "id", "text", STOP, 1000, 10**6)
+    assert matrix.terms.agg(F.max(F.size("docs"))).first()[0] <= 80  # the last term of a row has 30 documents at most
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= ls.BATCH_BYTES
